@@ -17,8 +17,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
+    "op4_minhash": op4_minhash,
+    "op8_packing": op8_packing,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
