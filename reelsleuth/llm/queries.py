@@ -41,6 +41,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
