@@ -35,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
