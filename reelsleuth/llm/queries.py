@@ -35,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -64,10 +70,25 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+#: SHA-1 in base32: five hexadecimal digits are four letters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::INT, 1)"
+    for g in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, strlen(body) AS payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, true AS sound
+FROM q""",
+}
