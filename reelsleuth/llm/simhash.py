@@ -199,3 +199,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = by_fp.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their component: those with its smallest doc_id.
+
+    Rows that repeat a doc_id and its text count once. Rows without a doc_id stay only if their whole component has none.
+    """
+    named = near_duplicates(docs, radius=radius)
+    kept = cut(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n")))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]) if kept.where("n > 1").limit(1).count() else rows
