@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of scalar functions. Fixtures come with the results that they must have; tables with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelsleuth.functions import labels as L
+from reelsleuth.functions import naming as N
+from reelsleuth.functions import text as X
+from reelsleuth.operators import signals as S
+
+from .base import query, table
+
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+
+def fixture(key: str, schema: str, rows: list[tuple], results: list[str], **made) -> None:
+    """Registers `made` columns over the first columns of `rows`; the last ones are what must come out."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    n = len(columns)
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+
+    @query(key, f"SELECT * FROM (VALUES {values}) AS t({', '.join([*columns, *results])})")
+    def run(spark, sf_dir):
+        return spark.createDataFrame([r[:n] for r in rows], schema).select(*columns, *[made[r].alias(r) for r in results])
+
+
+c = F.col
+fixture(
+    "F03_label_parsers", "label string",
+    [
+        ("ESPN_30_FOR_30_DISC_1", None, 1, None, "espn 30 for 30"), ("THE_WIRE_S01_D3", 1, 3, None, "the wire s01"), ("FRIENDS_S05_DISC_3", 5, 3, None, "friends s05"), ("KPOP DEMON HUNTERS - DISC ONE", None, None, None, "kpop demon hunters"),
+        ("MMPR_S3D1", 3, 1, None, "mmpr s3"), ("AttackOnTitan Season2 D1", 2, 1, None, "Attack On Titan"), ("FRIEREN S1P2 D1", 1, 1, 2, "frieren s1p2"), ("AttackOnTitan_S3_P1_D1", 3, 1, 1, "Attack On Titan s3 p1"), ("WONDER_WOMAN_3", None, None, None, "wonder woman 3"),
+        ("ROCKY_II", None, None, None, "rocky ii"), ("STAR_WARS_P1_D1", None, 1, None, "star wars p1"), ("DISC_1", None, 1, None, ""), ("", None, None, None, ""), ("McDonald Series 4 Disk 12", 4, 12, None, "McDonald Series 4"),
+    ],
+    ["season", "disc", "part", "search"], season=L.season_number(c("label")), disc=L.disc_number(c("label")), part=L.part_number(c("label")), search=L.query_from_label(c("label")),
+)
+fixture("F07_camel_case", "word string", [("AttackOnTitan", "Attack On Titan"), ("McDonald", "McDonald"), ("plain", "plain"), ("aBcD", "a Bc D")], ["parted"], parted=L.split_camel(c("word")))
+fixture("F11_search_terms", "query string", [("friends s05", "friends"), ("frieren s1p2", "frieren"), ("Attack On Titan s3 p1", "Attack On Titan"), ("s05", "s05"), ("mmpr s3", "mmpr"), ("star wars p1", "star wars p1")], ["terms"], terms=L.search_terms(c("query")))
+_title, _year = L.split_year(c("query"))
+fixture("F14_split_year", "query string", [("The Fly (1986)", "The Fly", 1986), ("The Fly", "The Fly", None), ("1984", "1984", None), ("Odd (1700)", "Odd (1700)", None), (" Twice (1) (2001) ", "Twice (1)", 2001)], ["title", "year"], title=_title, year=_year)
+fixture("F15_story_name", "name string", [("Ninja Quest (2)", "Ninja Quest"), ("Green with Evil Part 2: Battle", "Green with Evil"), ("Alone", None), ("Part of It", None), ("One (two)", None)], ["story"], story=L.story_name(c("name")))
+fixture("P10_bonus_label", "label string", [("MMPR_BONUS_D1", True), ("BONUSES_GALORE", False), ("Show Special Features", True), ("", False)], ["bonus"], bonus=L.is_bonus(c("label")))
+fixture("P11_placeholder_name", "name string", [("Episode 7", True), ("Episode 7b", False), ("Episode", False), ("Episode  12 ", True), ("The Episode 4", False)], ["placeholder"], placeholder=L.is_placeholder(c("name")))
+_label, _index = L.title_name(c("file"))
+fixture("S80_title_name", "file string", [("Friends Season 6 Disc 1_t04.mkv", "Friends Season 6 Disc 1", 4), ("Disc_tx.mkv", None, None), ("_t03.mkv", None, None), ("A_t01_t12.mkv", "A_t01", 12), ("A_t01.m2ts", None, None)], ["label", "ix"], label=_label, ix=_index)
+fixture("F16_title_case", "text string", [("new wave", "New Wave"), ("r&b soul", "R&b Soul"), ("McX", "McX"), ("", "")], ["cased"], cased=N.title_case(c("text")))
+fixture("F18_unsort", "name string", [("Beatles, The", "The Beatles"), ("Prince", "Prince"), ("A, B, C", "B, C A")], ["plain"], plain=N.unsort(c("name")))
+fixture("F23_slug", "text string", [("The Wire: Season 1!", "the-wire-season-1"), ("--", ""), ("Ünder Wäter", "nder-w-ter"), ("a" * 60, "a" * 48)], ["slug"], slug=N.slug(c("text")))
+fixture("F28_safe_names", "name string", [("AC/DC: Live?", "AC-DC Live", "AC_DC_ Live_", "AC_DC_ Live_"), ("a  b.", "a b.", "a  b.", "a  b_"), ('x|y"z', "x y z", "x_y_z", "x_y_z")], ["plain", "safe", "folder"], plain=N.sanitise(c("name")), safe=N.picard_safe(c("name")), folder=N.picard_folder(c("name")))
+fixture("F31_album_folder", "artist string, year string, title string", [("A", "1999", "T", "A - 1999 - T"), ("A", None, "T.", "A - T_")], ["folder"], folder=N.album_folder(c("artist"), c("year"), c("title")))
+fixture("F32_track_file", "disc int, number int, artist string, title string", [(1, 2, "A", "T", "1-02 - A - T.mp3"), (2, 11, "A/B", "What?", "2-11 - A_B - What_.mp3")], ["file"], file=N.track_file(c("disc"), c("number"), c("artist"), c("title")))
+fixture("F33_truncate", "text string", [("abcdef", "abc…"), ("abcd", "abcd"), ("", "")], ["short"], short=N.truncated(c("text"), 4))
+fixture("F35_destination_path", "path string", [("ready/games/ps2/T.iso", "games", "/mnt/T/ps2/T.iso"), ("movies/A/B.mkv", "movies", "/mnt/T/A/B.mkv"), ("loose.bin", "loose.bin", "/mnt/T/loose.bin")], ["category", "target"], category=N.category_of(c("path")), target=N.destination_path(F.lit("/mnt/T"), c("path")))
+fixture("F37_human_size", "size long", [(4116250624, "4.12 GB"), (999999999, "1000 MB"), (0, "0 MB"), (2048, "0 MB")], ["text"], text=N.human_size(c("size")))
+fixture("F39_extra_kind", "name string", [("Behind the Scenes", "Behind The Scenes"), ("BTS", "Behind The Scenes"), ("deleted-scenes", "Deleted Scenes"), ("nothing", None)], ["kind"], kind=N.extra_kind(c("name")))
+fixture("F42_serial", "raw string", [("SLUS_203.12", "SLUS-20312"), ("scus_941.63;1", "SCUS-941631"), ("AB_1234", None), ("SLUS-20312", None), ("SLES_1.2", None)], ["serial"], serial=N.serial(c("raw")))
+fixture("F45_disc_profile", "code int", [(8, "CD-ROM", "CD"), (20, "DVD-RW", "DVD"), (43, "DVD+R DL", "DVD"), (66, "BD-R", "Blu-ray"), (999, "unknown", "unknown")], ["profile", "family"], profile=N.disc_profile(c("code")), family=N.disc_family(N.disc_profile(c("code"))))
+fixture("F50_data_index", "name string", [("Data0007", 7), ("data0123", 123), ("Data007", None), ("Data00x7", None), ("DATA0007", None)], ["ix"], ix=N.data_index(c("name")))
+_file, _offset = N.block_location(c("block"))
+fixture("F51_block_location", "block long", [(0, 0, 8192), (203, 0, 839680), (204, 0, 847872), (41411, 0, 170455040), (41412, 1, 8192)], ["file", "place"], file=_file, place=_offset)
+fixture("F52_tail_blocks", "total long", [(0, 0), (1, 0), (2, 0), (3, 1), (206, 204), (207, 204), (208, 205)], ["data"], data=N.tail_blocks(c("total")))
+fixture("F57_synchsafe", "n int", [(0, "00000000"), (127, "0000007F"), (128, "00000100"), (257, "00000201")], ["hex"], hex=N.synchsafe(c("n")))
+fixture("J07_platform_slug", "platform string", [("Sony - PlayStation 2", "ps2"), (" SEGA - Mega-CD & Sega CD ", "segacd"), ("Unknown - Machine", None)], ["slug"], slug=N.platform_slug(c("platform")))
+fixture("S37_clock_seconds", "text string", [("1:02:03", 3723), ("45:10", 2710), ("59", 59), ("1:2:3:4", 0), ("x:10", 10)], ["seconds"], seconds=X.clock_seconds(c("text")))
+fixture("S47_ratio", "w long, h long", [(853, 480, 853 / 480), (16, 9, 16 / 9), (0, 9, None), (4, 0, None)], ["ratio"], ratio=F.when((c("w") > 0) & (c("h") > 0), c("w") / c("h")))
+_SRT = "1\n00:00:01,000 --> 00:00:02,000\nHello [door (slams)] there\n♪ la la ♪\n\n2\n00:00:03,000 --> 00:00:04,000\n<i>Who</i> (is it\nme)\n"
+fixture("S50_dialogue_text", "srt string", [(_SRT, "Hello  there la la Who me"), ("", "")], ["spoken"], spoken=X.dialogue_text(c("srt")))
+fixture("F01_stem_pairs", "word string", [("traded", "trad"), ("trade", "trad"), ("hurricanes", "hurrican"), ("delivers", "deliver"), ("used", "used"), ("miami", "miami"), ("zedd's", "zedd"), ("rangers'", "ranger")], ["stem"], stem=X.stem(c("word")))
+
+
+@query("F13_episode_code", "SELECT l_orderkey AS o, l_linenumber AS l, printf('S%02dE%02d', l_linenumber, l_quantity::INT) || CASE WHEN l_tax > 0.04 THEN printf('-E%02d', l_quantity::INT + 1) ELSE '' END AS code FROM lineitem")
+def episode_code(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(c("l_orderkey").alias("o"), c("l_linenumber").alias("l"), N.episode_code(c("l_linenumber"), c("l_quantity"), F.when(c("l_tax") > 0.04, c("l_quantity") + 1)).alias("code"))
+
+
+@query("F19_years", "SELECT o_orderkey, left(strftime(o_orderdate, '%Y-%m-%d'), 4) AS text, year(o_orderdate)::INT AS year FROM orders")
+def years(spark, sf_dir):
+    """F19 and F20."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return rows.select("o_orderkey", F.substring("d", 1, 4).alias("text"), N.year_of(c("d")).alias("year"))
+
+
+@query("F21_url_encode", "SELECT page_id, url_encode(url) AS encoded FROM pages")
+def url_encode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", N.url_encode(c("url")).alias("encoded"))
+
+
+@query("F24_stamp", "SELECT o_orderkey, strftime(to_timestamp(o_orderkey * 86413) AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S') AS stamp FROM orders")
+def stamp(spark, sf_dir):
+    utc = F.to_utc_timestamp(F.timestamp_seconds(c("o_orderkey") * 86413), F.current_timezone())
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(utc, "yyyyMMdd-HHmmss").alias("stamp"))
+
+
+@query("F26_hms", "SELECT o_orderkey, printf('%d:%02d:%02d', o_orderkey // 3600, o_orderkey % 3600 // 60, o_orderkey % 60) AS text FROM orders")
+def hms(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.hms(c("o_orderkey")).alias("text"))
+
+
+@query("F23_page_slugs", "SELECT page_id, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 48) AS slug FROM pages")
+def page_slugs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", N.slug(c("url")).alias("slug"))
+
+
+_ML = "FROM lineitem JOIN part ON l_partkey = p_partkey"
+_RT = "CASE WHEN p_size % 7 <> 0 THEN p_size END"
+
+
+def _scored(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", c("l_quantity").alias("m"), F.when(c("p_size") % 7 != 0, c("p_size")).alias("rt"), F.when(c("l_tax") > 0.02, c("l_discount") * 10).alias("dialogue"))
+
+
+@query("P01_runtime_score", f"SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN rt IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - abs(m - rt) / 10)) END::DOUBLE AS score FROM (SELECT *, l_quantity AS m, {_RT} AS rt {_ML})")
+def runtime_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", S.runtime_score(c("m"), c("rt")).alias("score"))
+
+
+@query("P03_runtime_veto", f"SELECT l_orderkey, l_partkey, l_suppkey, coalesce(rt > 0 AND m > 0 AND abs(m - rt) > 15 AND abs(m - rt) / greatest(m, rt) > 0.35, false) AS veto FROM (SELECT *, l_quantity AS m, {_RT} AS rt {_ML})")
+def runtime_veto(spark, sf_dir):
+    return _scored(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", S.runtime_implausible(c("m"), c("rt")).alias("veto"))
+
+
+@query("P04_combined_score", f"SELECT l_orderkey, l_partkey, l_suppkey, round(coalesce(0.35 * r + 0.65 * d, r), 9)::DOUBLE AS score FROM (SELECT *, CASE WHEN {_RT} IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - abs(l_quantity - p_size) / 10)) END::DOUBLE AS r, CASE WHEN l_tax > 0.02 THEN l_discount * 10 END AS d {_ML})")
+def combined_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", F.round(S.combined(S.runtime_score(c("m"), c("rt")), c("dialogue")), 9).alias("score"))
+
+
+@query("P05_film_fits", f"SELECT l_orderkey, l_partkey, l_suppkey, coalesce(abs(l_quantity * 4 - p_size * 4) <= greatest(4.0, p_size * 4 * 0.03), false) AS fits {_ML}")
+def film_fits(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", S.film_fits(c("l_quantity") * 4, c("p_size") * 4).alias("fits"))
+
+
+@query("P06_close_and_measured", "SELECT l_orderkey, count(*) AS n, abs(sum(l_quantity) - 100) / sum(l_quantity) <= 0.005 AS close, count(*) FILTER (l_tax > 0.03) >= 2 AND 3 * count(*) FILTER (l_tax > 0.03) >= 2 * count(*) AS measured FROM lineitem GROUP BY l_orderkey")
+def close_and_measured(spark, sf_dir):
+    """P06 and P07."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"), F.count_if(c("l_tax") > 0.03).alias("counted"))
+    return g.select("l_orderkey", "n", S.close_to_sum(F.lit(100), c("total")).alias("close"), S.enough_measured(c("counted"), c("n")).alias("measured"))
