@@ -195,7 +195,7 @@ def reference_text(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", F.concat(F.lit("Item "), "item_id"), "text").alias("reference"))
 
 
-@query("W21_srt_halves", "SELECT * FROM (VALUES (1, 'one two three', 'four five'), (2, 'alone', '')) AS t(id, first, second)")
+@query("W21_srt_halves", "SELECT * FROM (VALUES (1, 'one two three', 'four five'), (2, '', 'alone')) AS t(id, first, second)")
 def srt_halves(spark, sf_dir):
     from reelsleuth.sources.text_formats import split_srt
 

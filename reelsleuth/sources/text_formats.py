@@ -88,6 +88,6 @@ def split_srt(rows: DataFrame, by: str, srt: str) -> DataFrame:
     from pyspark.sql import Window
 
     marked = cues(rows, by, srt).withColumn("half", F.max("start").over(Window.partitionBy(by)) / 2)
-    early = F.coalesce((F.col("start") < F.col("half")) | ((F.col("half") == 0) & (F.col("start") == 0)), F.lit(False))
+    early = F.coalesce(F.col("start") < F.col("half"), F.lit(False))
     texts = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "block")))), lambda x: x["block"]), "\n\n")
     return marked.groupBy(by).agg(texts(early).alias("first"), texts(~early).alias("second"))
