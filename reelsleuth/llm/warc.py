@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_dir
@@ -197,37 +197,48 @@ def put(folder: str, name: str, data: bytes) -> str:
     return name
 
 
+def fetch(uri: str) -> bytes:
+    """A file whole; `file:/x` is how Hadoop names a local file."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri("file:///" + uri[6:].lstrip("/") if uri.startswith("file:/") else uri if "://" in uri else f"file://{uri}")
+    with system.open_input_stream(path) as got:
+        return got.read()
+
+
 def read_archives(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(path, content) of each whole archive in the folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
 
 
-def with_archive(df: DataFrame, size: Column, key: Column) -> DataFrame:
-    """`df` with its rows dealt to archives of about ARCHIVE_BYTES by a hash of `key`."""
-    total = df.agg(F.sum(size).alias("n")).first()["n"] or 0
-    return df.withColumn("archive", F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // ARCHIVE_BYTES)))))
-
-
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
     """Writes `pages` (page_id, url, html) as compressed ARC files, even ones of version 1 and odd ones of version 2.
 
-    Returns (name, records). A page's row becomes an HTTP reply; its id travels in the head.
+    Returns (name, records). A page's row becomes an HTTP reply; its id travels in the head. Each task writes the
+    rows that it reads, a file for every ARCHIVE_BYTES of payload, named by its partition: a task that runs again
+    writes the same files, and no page is shuffled.
     """
-    def write(got: pd.DataFrame) -> pd.DataFrame:
-        k = int(got["archive"].iloc[0])
-        version, name = 1 + k % 2, f"pages-{k:06d}.arc.gz"
-        zipped, plain = [gzip.compress(arc_head(name, version), 4)], 0
-        for page, url, html in zip(got["id"], got["url"], got["html"]):
-            payload = html.encode("utf-8", "replace") if isinstance(html, str) else b""
-            body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page if isinstance(page, str) else '-'}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-            zipped.append(gzip.compress(arc_record(version, url if isinstance(url, str) else "", "0.0.0.0", EPOCH, "text/html", body, name, plain), 4))
-            plain += len(zipped[-1])
-        put(folder, name, b"".join(zipped))
-        return pd.DataFrame({"name": [name], "records": [len(got)]})
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, k, records, payloads, plain, zipped, name, version = TaskContext.get().partitionId(), 0, 0, 0, 0, [], "", 1
+        for batch in batches:
+            for page, url, html in zip(batch["id"], batch["url"], batch["html"]):
+                if not zipped:
+                    version, name = 1 + (part + k) % 2, f"pages-{part:06d}-{k:04d}.arc.gz"
+                    zipped, plain, records, payloads = [gzip.compress(arc_head(name, version), 6)], 0, 0, 0
+                payload = html.encode("utf-8", "replace") if isinstance(html, str) else b""
+                body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page if isinstance(page, str) else '-'}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+                zipped.append(gzip.compress(arc_record(version, url if isinstance(url, str) else "", "0.0.0.0", EPOCH, "text/html", body, name, plain), 6))
+                plain, records, payloads = plain + len(body), records + 1, payloads + len(payload)
+                if payloads >= ARCHIVE_BYTES:
+                    yield pd.DataFrame({"name": [put(folder, name, b"".join(zipped))], "records": [records]})
+                    k, zipped = k + 1, []
+        if zipped:
+            yield pd.DataFrame({"name": [put(folder, name, b"".join(zipped))], "records": [records]})
 
     own = pages.select(F.col(id_col).cast("string").alias("id"), "url", "html")
-    dealt = with_archive(own, F.coalesce(F.octet_length("html"), F.lit(0)) + 300, F.struct("id", "url"))
-    return dealt.groupBy("archive").applyInPandas(write, "name string, records long")
+    return own.mapInPandas(write, "name string, records long")
 
 
 ARC_ROW = "archive string, at long, id long, url string, ip string, date string, kind string, digest string, size long"
@@ -270,29 +281,31 @@ def decisions(index: DataFrame, least_bytes: int = 0) -> DataFrame:
 def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes: int = 0) -> DataFrame:
     """Converts each ARC file to a WARC file; returns (name, records).
 
-    What an archive's records refer to is gathered by archive, a few numbers a record; bodies aren't shuffled.
+    What an archive's records refer to is gathered by archive, a few numbers a record, and goes to the task that
+    opens the archive; bodies aren't shuffled.
     """
     index = cut(arc_index(spark, arc_folder))
     plan = decisions(index, least_bytes).groupBy("archive").agg(F.collect_list(F.struct("at", "first_id", "first_url", "first_date", "digest")).alias("plan"))
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content, plan in zip(batch["path"], batch["content"], batch["plan"]):
+            for path, plan in zip(batch["archive"], batch["plan"]):
                 refers = {}
                 for p in plan if plan is not None else ():
                     refers[p["at"]] = (record_id(p["first_url"], p["first_date"], p["digest"]), p["first_url"], arc_date(p["first_date"]), p["first_id"])
                 name = posixpath.basename(path).replace(".arc", ".warc")
-                parts = [gzip.compress(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", arc_date(EPOCH)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: reelsleuth\r\nformat: WARC File Format 1.1\r\n"), 4)]
-                for r in parse_arc(content):
+                parts = [gzip.compress(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", arc_date(EPOCH)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: reelsleuth\r\nformat: WARC File Format 1.1\r\n"), 6)]
+                for r in parse_arc(fetch(path)):
                     to = refers.get(r.offset)
                     made = converted(r, to[:3] if to else None)
                     if to and to[3] is not None and to[3] == to[3]:
                         made = made.replace(b"\r\nWARC-Profile:", f"\r\nX-Refers-To-Page: {int(to[3])}\r\nWARC-Profile:".encode(), 1)
-                    parts.append(gzip.compress(made, 4))
+                    parts.append(gzip.compress(made, 6))
                 put(warc_folder, name, b"".join(parts))
                 yield pd.DataFrame({"name": [name], "records": [len(parts) - 1]})
 
-    files = read_archives(spark, arc_folder, ".arc.gz").join(plan.withColumnRenamed("archive", "path"), "path", "left")
+    names = index.select("archive").distinct()
+    files = names.join(plan, "archive", "left").repartition(max(1, min(10_000, names.count())), "archive")
     return files.mapInPandas(convert, "name string, records long")
 
 
