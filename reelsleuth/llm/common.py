@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -44,3 +45,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def put(folder: str, name: str, data: bytes) -> str:
+    """Writes a file of the shared folder whole or not at all: a task that runs again, or twice, leaves one whole file."""
+    from pyarrow import fs
+
+    uri = folder if "://" in folder else f"file://{folder}"
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path, recursive=True)
+    draft = posixpath.join(path, f"_{name}.{uuid.uuid4().hex}")
+    with system.open_output_stream(draft) as out:
+        out.write(data)
+    system.move(draft, posixpath.join(path, name))
+    return name
+
+
+def fetch(uri: str) -> bytes:
+    """A file whole; `file:/x` is how Hadoop names a local file."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri("file:///" + uri[6:].lstrip("/") if uri.startswith("file:/") else uri if "://" in uri else f"file://{uri}")
+    with system.open_input_stream(path) as got:
+        return got.read()

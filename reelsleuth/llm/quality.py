@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fetch, fresh_dir, put
 
 #: Word classes: a token's hash names its class, 0 begins a text. Tables hold CLASSES squared numbers whatever the corpus.
 CLASSES = 2048
@@ -80,26 +80,37 @@ def log_chances(counts: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndar
     return np.log(p).astype(np.float32)
 
 
+@lru_cache(maxsize=1)
+def load_tables(folder: str) -> np.ndarray:
+    """FOLDS x CLASSES x CLASSES log chances (16 MB) from the shards in `folder`, once a worker."""
+    lower = np.frombuffer(fetch(f"{folder}/lower"), np.float32).reshape(FOLDS, 1, CLASSES)
+    tables = np.repeat(lower.astype(np.float16), CLASSES, axis=1)
+    for name in fetch(f"{folder}/names").decode().split():
+        fold, shard = map(int, name.split("-"))
+        tables[fold, shard * SHARD : (shard + 1) * SHARD] = np.frombuffer(fetch(f"{folder}/{name}"), np.float32).reshape(SHARD, CLASSES)
+    return tables
+
+
 @dataclass
 class Model:
-    """tables: FOLDS x CLASSES x CLASSES log chances, broadcast (32 MB); mean: of trusted tokens; thresholds by language."""
+    """folder: log chances by shard, in the shared folder, read by each worker; mean: of trusted tokens; thresholds by language."""
 
-    tables: Broadcast
+    folder: str
     mean: float
     thresholds: dict
     default: float | None
 
     def score(self, text: Column, fold: Column) -> Column:
         """struct(tokens long, loss double): tokens, and the sum of their negative log chances."""
-        tables = self.tables
+        folder = self.folder
 
         def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            classes = Classes()
+            classes, tables = Classes(), load_tables(folder)
             for texts, folds in batches:
                 out = []
                 for t, f in zip(texts, folds):
                     pairs = pairs_of(classes, t)
-                    out.append((len(pairs), -float(tables.value[f].ravel()[pairs].sum(dtype=np.float64))))
+                    out.append((len(pairs), -float(tables[f].ravel()[pairs].sum(dtype=np.float64))))
                 yield pd.DataFrame(out, columns=["tokens", "loss"])
 
         return F.pandas_udf("tokens long, loss double")(_typed(each))(text, fold)
@@ -158,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A Model of all documents that `labels` calls good (quality 1), and thresholds from their own perplexities.
 
     Counts are summed by shard of the context; shards meet the continuation chances and discounts to give
-    log chances. The driver holds tables of CLASSES squared numbers a fold, however large the corpus is.
+    log chances, which tasks write to the shared folder and workers read: CLASSES squared numbers a fold, however
+    large the corpus is. The driver holds CLASSES numbers a shard.
     """
     spark = docs.sparkSession
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("trusted_id")).distinct()
@@ -173,16 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         kinds[r["fold"]] += np.frombuffer(r["kinds"], np.int64)
         few[r["fold"]] += r["few"]
     lower, d = [continuation(k) for k in kinds], [discounts(*x) for x in few]
+    folder = fresh_dir(spark, "quality")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            logs = [log_chances(np.frombuffer(n, np.int64).reshape(SHARD, CLASSES), d[f], lower[f]).tobytes() for f, n in zip(batch["fold"], batch["n"])]
-            yield pd.DataFrame({"fold": batch["fold"], "shard": batch["shard"], "logs": logs})
-
-    tables = np.stack([np.repeat(np.log(x)[None].astype(np.float32), CLASSES, axis=0) for x in lower])
-    for r in sums.select("fold", "shard", "n").mapInPandas(finish, "fold int, shard int, logs binary").collect():
-        tables[r["fold"], r["shard"] * SHARD : (r["shard"] + 1) * SHARD] = np.frombuffer(r["logs"], np.float32).reshape(SHARD, CLASSES)
-    model = Model(spark.sparkContext.broadcast(tables), 0.0, {}, None)
+            names = []
+            for f, shard, n in zip(batch["fold"], batch["shard"], batch["n"]):
+                logs = log_chances(np.frombuffer(n, np.int64).reshape(SHARD, CLASSES), d[f], lower[f])
+                names.append(put(folder, f"{f}-{shard}", logs.tobytes()))
+            yield pd.DataFrame({"name": names})
+
+    names = [r["name"] for r in sums.select("fold", "shard", "n").mapInPandas(finish, "name string").collect()]
+    put(folder, "lower", np.log(np.stack(lower)).astype(np.float32).tobytes())
+    put(folder, "names", " ".join(sorted(names)).encode())
+    model = Model(folder, 0.0, {}, None)
     q = F.col("q")
     seen = cut(trusted.select("lang", model.score(F.col("text"), F.col("fold")).alias("q")).where("q.tokens > 0").select("lang", q["tokens"].alias("tokens"), q["loss"].alias("loss")))
     total = seen.agg(F.sum("loss").alias("loss"), F.sum("tokens").alias("tokens")).first()

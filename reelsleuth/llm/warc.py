@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, fetch, fresh_dir, put
 
 #: Bytes of payload of one archive, about.
 ARCHIVE_BYTES = 8_000_000
@@ -183,29 +183,6 @@ def converted(record: ArcRecord, refers: tuple[str, str, str] | None) -> bytes:
 # --- Files -----------------------------------------------------------------------------------------------
 
 
-def put(folder: str, name: str, data: bytes) -> str:
-    """Writes a file whole or not at all."""
-    from pyarrow import fs
-
-    uri = folder if "://" in folder else f"file://{folder}"
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path, recursive=True)
-    draft = posixpath.join(path, f"_{name}.{uuid.uuid4().hex}")
-    with system.open_output_stream(draft) as out:
-        out.write(data)
-    system.move(draft, posixpath.join(path, name))
-    return name
-
-
-def fetch(uri: str) -> bytes:
-    """A file whole; `file:/x` is how Hadoop names a local file."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri("file:///" + uri[6:].lstrip("/") if uri.startswith("file:/") else uri if "://" in uri else f"file://{uri}")
-    with system.open_input_stream(path) as got:
-        return got.read()
-
-
 def read_archives(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(path, content) of each whole archive in the folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
