@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 MASKS = ("1111001001", "1011111", "1101010011")
 #: A leak aligns so many equal tokens at least, and such a share of the aligned ones.
 LEAST_EQUAL, LEAST_SHARE = 11, 0.8
+#: Tokens of a text that are searched as one row; longer texts go in blocks that overlap by an item's length.
+BLOCK = 4096
 #: Seeds of the benchmark that are broadcast at once, 40 bytes each; a larger benchmark is searched in blocks.
 SEEDS_AT_ONCE = 200_000
 
@@ -44,12 +46,35 @@ def _best_run(agree: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(agree) - 1), zero, step)
 
 
-def _search(texts: DataFrame, items: DataFrame, least_equal: int, least_share: float) -> DataFrame:
+def _blocks(texts: DataFrame, margin: int) -> DataFrame:
+    """(doc_id, base, core, end, tokens): each text in blocks, with `margin` tokens more on both sides.
+
+    base is the place of a block's first token in the text; core to end is the block without its margins.
+
+    A row's hits are held until the row is done, so that a very long or repetitive text must not be one row.
+    """
+    size = max(BLOCK, 8 * margin)
+    before = lambda s: F.least(s, F.lit(margin))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(size))
+    part = lambda s: F.struct((s - before(s)).alias("base"), before(s).alias("core"), F.slice(F.col("tokens"), s - before(s) + 1, F.lit(size + margin) + before(s)).alias("tokens"))
+    found = texts.select("doc_id", F.explode(F.transform(starts, part)).alias("b"))
+    return found.select("doc_id", "b.base", "b.core", (F.col("b.core") + size).alias("end"), "b.tokens")
+
+
+def _search(texts: DataFrame, items: DataFrame, margin: int, least_equal: int, least_share: float) -> DataFrame:
     """All aligned runs of `items` (item_id, bench) in `texts` (doc_id, tokens). `items` is small enough to broadcast."""
     seeds = _seeds(items, "bench", "item_id").select("item_id", F.col("at").alias("item_at"), "seed").distinct()
-    found = _seeds(texts, "tokens", "doc_id", "tokens").join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
-    found = found.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "tokens", "bench")
-    agree = F.transform(F.sequence(F.lit(0), F.size("bench") - 1), lambda j: F.coalesce(F.get(F.col("tokens"), F.col("shift") + j) == F.get(F.col("bench"), j), F.lit(False)))
+    found = _seeds(_blocks(texts, margin), "tokens", "doc_id", "base", "core", "end", "tokens").join(F.broadcast(seeds), "seed").where("at >= core AND at < end")
+    named = items.select(F.col("item_id").alias("named_id"), "bench")
+    found = found.join(F.broadcast(named), F.col("item_id").eqNullSafe(F.col("named_id")))
+    # Of a block only what lies along the item goes on.
+    shift = F.col("at") - F.col("item_at")
+    along = F.slice("tokens", F.greatest(shift, F.lit(0)) + 1, F.greatest(F.size("bench") + F.least(shift, F.lit(0)), F.lit(0)))
+    found = found.select("doc_id", "item_id", shift.alias("local"), (F.col("base") + shift).alias("shift"), along.alias("along"), "bench")
+    skip = F.greatest(-F.col("local"), F.lit(0))
+    agree = F.transform("bench", lambda b, j: F.coalesce(F.get(F.col("along"), F.when(j >= skip, j - skip)) == b, F.lit(False)))
+    # `along` is named twice, so that the planner keeps it as a column and doesn't copy it into the lambda.
+    agree = F.when(F.size("along") >= least_equal, agree)
     found = found.select("doc_id", "item_id", "shift", agree.alias("agree")).where(F.size(F.filter("agree", lambda x: x)) >= least_equal)
     once = found.groupBy("doc_id", "item_id", "shift").agg(F.first("agree").alias("agree"))
     run = once.select("doc_id", "item_id", "shift", "agree", _best_run(F.col("agree")).alias("run"))
@@ -73,12 +98,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_equal: int = LEAST_EQUAL,
     """
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("bench")).where(F.size("bench") >= least_equal).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("tokens"))
-    held = items.agg(F.sum(F.size("bench")).alias("n")).first()["n"] or 0
+    sizes = items.agg(F.sum(F.size("bench")).alias("n"), F.max(F.size("bench")).alias("most")).first()
+    held, margin = sizes["n"] or 0, (sizes["most"] or 0) + max(map(len, MASKS))
     blocks = max(1, -(-held * len(MASKS) // seeds_at_once))
     found = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "bench"), F.lit(blocks)) == k)
-        some = _search(texts, part, least_equal, least_share)
+        some = _search(texts, part, margin, least_equal, least_share)
         found = some if found is None else found.unionByName(some)
     best = F.max_by(F.struct("equal_tokens", "aligned_tokens", "doc_token", "item_token"), F.struct("equal_tokens", -F.col("aligned_tokens"), -F.col("doc_token"), -F.col("item_token")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
