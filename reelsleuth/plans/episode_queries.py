@@ -27,7 +27,7 @@ def named_by_card(spark, sf_dir):
 @query("O18_against_cards", "SELECT l_orderkey AS disc, count(*) FILTER (l_tax > 0.04 AND l_partkey % 5 <> 0) AS agree, count(*) FILTER (l_tax > 0.04 AND l_partkey % 5 = 0) AS disagree, CASE WHEN count(*) FILTER (l_tax > 0.04 AND l_partkey % 5 = 0) > 0 THEN 1 WHEN count(*) FILTER (l_tax > 0.04 AND l_partkey % 5 <> 0) > 0 THEN 2 END AS confidence FROM lineitem GROUP BY l_orderkey")
 def against_cards(spark, sf_dir):
     """A25 and O18."""
-    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("disc"), F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey").alias("title"), c("l_linenumber").alias("episode"), "l_tax", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("disc"), F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("title"), c("l_linenumber").alias("episode"), "l_tax", "l_partkey")
     cards = rows.where("l_tax > 0.04").select("title", (c("episode") + F.when(c("l_partkey") % 5 == 0, 1).otherwise(0)).alias("episode"))
     return E.against_cards(rows.select("disc", "title", "episode"), cards, "disc")
 
