@@ -207,3 +207,50 @@ def place_sets(pairs: DataFrame, by: str, disc: str, title: str, episode: str, c
 
     types = dict(pairs.dtypes)
     return pairs.select(by, disc, title, episode, cost).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {disc} {types[disc]}, start {types[episode]}, mean_cost double, runner_up double")
+
+
+def order_groups(pairs: DataFrame, by: str, title: str, episode: str, fit: str, minutes: str, listed: str) -> DataFrame:
+    """(by, title, episode, reason, doubtful): titles of each window in order, from (by, title, episode, fit, minutes, listed).
+
+    A null fit is a title without dialogue, a null `listed` an unknown runtime. Windows with as many episodes as titles count.
+    """
+    def one(got: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = sorted(got[title].unique()), sorted(got[episode].unique())
+        empty = pd.DataFrame(columns=[by, title, episode, "reason", "doubtful"])
+        if len(rows) != len(cols):
+            return empty
+        at = (got[title].map({r: i for i, r in enumerate(rows)}), got[episode].map({c: i for i, c in enumerate(cols)}))
+        grid, mins, known = np.full((len(rows), len(rows)), np.nan), np.zeros(len(rows)), np.full(len(rows), np.nan)
+        grid[at], mins[at[0]], known[at[1]] = got[fit].to_numpy(float), got[minutes].to_numpy(float), got[listed].to_numpy(float)
+        spoken = ~np.isnan(grid).any(axis=1)
+        nothing = [None] * len(rows)
+        found = order_titles(np.nan_to_num(grid), spoken, mins, known, nothing, nothing)
+        if found is None:
+            return empty
+        order, reasons, doubtful = found
+        return pd.DataFrame({by: got[by].iloc[0], title: rows, episode: [cols[e] for e in order], "reason": reasons, "doubtful": [t in doubtful for t in range(len(rows))]})
+
+    types = dict(pairs.dtypes)
+    return pairs.select(by, title, episode, fit, minutes, listed).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {title} {types[title]}, {episode} {types[episode]}, reason string, doubtful boolean")
+
+
+def special_groups(pairs: DataFrame, by: str, title: str, special: str, score: str) -> DataFrame:
+    """(by, title, special, margin, accepted): bonus titles and specials one to one, from (by, title, special, score); pairs not given are barred."""
+    def one(got: pd.DataFrame) -> pd.DataFrame:
+        matrix, rows, cols = _matrix(got, title, special, score)
+        found = match_specials(np.where(np.isinf(matrix), np.nan, matrix), np.isinf(matrix))
+        return pd.DataFrame([(got[by].iloc[0], rows[i], cols[e], m, ok) for i, (e, m, ok) in enumerate(found) if e is not None], columns=[by, title, special, "margin", "accepted"])
+
+    types = dict(pairs.dtypes)
+    return pairs.select(by, title, special, score).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {title} {types[title]}, {special} {types[special]}, margin double, accepted boolean")
+
+
+def greedy_groups(pairs: DataFrame, by: str, title: str, episode: str, score: str) -> DataFrame:
+    """(by, title, episode, score): the best pairs first, each title and episode once in a group."""
+    def one(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values([score, title, episode], ascending=[False, True, True])
+        found = greedy_unique(list(zip(got[title], got[episode], got[score])))
+        return pd.DataFrame([(got[by].iloc[0], t, e, s) for t, (e, s) in found.items()], columns=[by, title, episode, score])
+
+    types = dict(pairs.dtypes)
+    return pairs.select(by, title, episode, score).groupBy(by).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in (by, title, episode, score)))

@@ -178,3 +178,21 @@ def set_placement(spark, sf_dir):
     rows = rows.withColumn("episode", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
     rows = rows.withColumn("cost", (c("title") * 7919 + c("episode") * 104729) % 1000 / 1000)
     return V.place_sets(rows, "grp", "disc", "title", "episode", "cost")
+
+
+@query("O05_ordered_titles")
+def ordered_titles(spark, sf_dir):
+    """Tested against hand-made windows."""
+    rows = pairs(spark, sf_dir).withColumn("fit", F.when(c("title") % 4 != 0, (c("cost") - 0.5) * 6)).withColumn("minutes", (c("title") % 30).cast("double")).withColumn("listed", (c("episode") * 10).cast("double"))
+    return V.order_groups(rows, "grp", "title", "episode", "fit", "minutes", "listed")
+
+
+@query("O07_specials")
+def specials(spark, sf_dir):
+    rows = pairs(spark, sf_dir).where("(title + episode) % 5 <> 0").withColumn("score", c("cost") * 5)
+    return V.special_groups(rows, "grp", "title", "episode", "score")
+
+
+@query("O20_greedy_unique", f"WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost DESC, title, episode) AS r FROM pairs), g AS (SELECT grp, r, [title] AS ts, [episode] AS es, title, episode, cost, true AS taken FROM o WHERE r = 1 UNION ALL SELECT o.grp, o.r, CASE WHEN list_contains(ts, o.title) OR list_contains(es, o.episode) THEN ts ELSE list_append(ts, o.title) END, CASE WHEN list_contains(ts, o.title) OR list_contains(es, o.episode) THEN es ELSE list_append(es, o.episode) END, o.title, o.episode, o.cost, NOT (list_contains(ts, o.title) OR list_contains(es, o.episode)) FROM g JOIN o ON o.grp = g.grp AND o.r = g.r + 1) SELECT grp, title, episode, cost::DOUBLE AS cost FROM g WHERE taken")
+def greedy(spark, sf_dir):
+    return V.greedy_groups(pairs(spark, sf_dir), "grp", "title", "episode", "cost")
