@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
 
 #: Which token positions of a window count. Any 13 tokens with 2 substitutions keep some window of one of these whole.
 MASKS = ("1111001001", "1011111", "1101010011")
@@ -29,21 +30,34 @@ def _seeds(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
     return placed.select(*keep, "at", F.explode(F.array(*keys)).alias("seed"))
 
 
-def _best_run(agree: Column) -> Column:
-    """struct(equal, first, last) of the run of `agree` with the most agreements over disagreements, the first of equals."""
-    def step(s: Column, i: Column) -> Column:
-        one = F.when(F.get(agree, i), 1).otherwise(-1)
-        fresh = s["now"] <= 0
-        now = F.when(fresh, one).otherwise(s["now"] + one)
-        first = F.when(fresh, i).otherwise(s["from_"])
-        better = now > s["best"]
-        return F.struct(
-            now.alias("now"), first.alias("from_"), F.when(better, now).otherwise(s["best"]).alias("best"),
-            F.when(better, first).otherwise(s["first"]).alias("first"), F.when(better, i).otherwise(s["last"]).alias("last"),
-        )
+def _ranked(places: Column, least_share: float) -> Column:
+    """Array of struct(key, ends, k), sorted: the k-th agreement as a run's first (ends 0) and as its last (ends 1).
 
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("now", "from_", "best")], F.lit(0).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(agree) - 1), zero, step)
+    The run from agreement a to b has b - a + 1 equal tokens of places[b] - places[a] + 1. It holds the share if a stands
+    before b here.
+    """
+    share = F.lit(round(least_share * 1000))
+    above = lambda p, k: F.lit(1000) * k - share * p
+    first = F.transform(places, lambda p, k: F.struct(above(p, k).alias("key"), F.lit(0).alias("ends"), k.alias("k")))
+    last = F.transform(places, lambda p, k: F.struct((above(p, k) + 1000 - share).alias("key"), F.lit(1).alias("ends"), k.alias("k")))
+    return F.sort_array(F.concat(first, last))
+
+
+def _most_equal(ranked: Column) -> Column:
+    """The most equal tokens of any run that holds the share: each last agreement with the earliest first before it in `ranked`."""
+    def step(s: Column, e: Column) -> Column:
+        least = F.when(e["ends"] == 0, F.least(s["least"], e["k"])).otherwise(s["least"])
+        most = F.when(e["ends"] == 1, F.greatest(s["most"], e["k"] - s["least"] + 1)).otherwise(s["most"])
+        return F.struct(least.alias("least"), most.alias("most"))
+
+    zero = F.struct(F.lit(2**30).alias("least"), F.lit(0).alias("most"))
+    return F.aggregate(ranked, zero, step, lambda s: s["most"])
+
+
+def _shortest_run(places: Column, equal: Column) -> Column:
+    """struct(size, first) of the shortest run with `equal` agreements, the first of equals. It holds the share if any such run does."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(places) - equal), lambda k: F.struct((F.get(places, k + equal - 1) - F.get(places, k) + 1).alias("size"), F.get(places, k).alias("first")))
+    return F.array_min(runs)
 
 
 def _blocks(texts: DataFrame, margin: int) -> DataFrame:
@@ -77,20 +91,20 @@ def _search(texts: DataFrame, items: DataFrame, margin: int, least_equal: int, l
     agree = F.when(F.size("along") >= least_equal, agree)
     found = found.select("doc_id", "item_id", "shift", agree.alias("agree")).where(F.size(F.filter("agree", lambda x: x)) >= least_equal)
     once = found.groupBy("doc_id", "item_id", "shift").agg(F.first("agree").alias("agree"))
-    run = once.select("doc_id", "item_id", "shift", "agree", _best_run(F.col("agree")).alias("run"))
-    size = F.col("run.last") - F.col("run.first") + 1
-    equal = F.size(F.filter(F.slice("agree", F.col("run.first") + 1, F.greatest(size, F.lit(0))), lambda x: x))
+    places = F.filter(F.transform("agree", lambda x, j: F.when(x, j)), lambda j: j.isNotNull())
+    run = let(places, lambda p: let(_most_equal(_ranked(p, least_share)), lambda n: F.when(n >= least_equal, F.struct(n.alias("equal"), _shortest_run(p, n).alias("at")))))
+    run = once.select("doc_id", "item_id", "shift", run.alias("run")).where("run IS NOT NULL")
     return run.select(
-        "doc_id", "item_id", equal.cast("long").alias("equal_tokens"), size.cast("long").alias("aligned_tokens"),
-        (F.col("shift") + F.col("run.first")).cast("long").alias("doc_token"), F.col("run.first").cast("long").alias("item_token"),
-    ).where((F.col("equal_tokens") >= least_equal) & (F.col("equal_tokens") >= least_share * F.col("aligned_tokens")))
+        "doc_id", "item_id", F.col("run.equal").cast("long").alias("equal_tokens"), F.col("run.at.size").cast("long").alias("aligned_tokens"),
+        (F.col("shift") + F.col("run.at.first")).cast("long").alias("doc_token"), F.col("run.at.first").cast("long").alias("item_token"),
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_equal: int = LEAST_EQUAL, least_share: float = LEAST_SHARE, seeds_at_once: int = SEEDS_AT_ONCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, equal_tokens, aligned_tokens, doc_token, item_token): the longest overlap of each pair that leaks.
 
-    Seeds of texts and items meet in an equi-join; around each hit the whole item is laid along the text and
-    the best run of agreeing tokens must hold `least_equal` equal ones, at least `least_share` of all in it.
+    Seeds of texts and items meet in an equi-join; around each hit the whole item is laid along the text, and
+    of all runs with at least `least_share` equal tokens the one with the most must hold `least_equal`; of equals the shortest.
     Ties go to the earliest place in the text. Items are deduplicated by item_id and tokens; items of fewer
     than `least_equal` tokens, null or empty texts match nothing. Repeated rows give one row; a null doc_id or
     item_id is an id like others. An empty table gives no rows; other columns are ignored. A benchmark of

@@ -78,6 +78,26 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert C.leaks(odd, bench.limit(0)).count() == 0 and C.leaks(odd.limit(0), bench).count() == 0
 
 
+def test_any_run_that_holds_the_share_is_a_leak(spark):
+    """Of all alignments' runs the one with the most equal tokens counts, as by trying all."""
+    rng = random.Random(11)
+    plans = [[26, -13, 20], [13, -6, 8], [11, -9, 14], [12, -3, 4, -9, 12], [6, -1, 5, -9, 3], [10, -9, 10], [20, -2, 3, -3, 15]]
+    plans += [[rng.randrange(1, 16) * (1 - 2 * (k % 2)) for k in range(7)] for _ in range(40)]
+    items, docs, truth = [], [], {}
+    for i, plan in enumerate(plans):
+        item = words(rng, sum(map(abs, plan)), 400_000)
+        agree = [n > 0 for n in plan for _ in range(abs(n))]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(["start"] + [w if ok else "changed" for w, ok in zip(item, agree)])))
+        runs = [(sum(agree[a:b]), a - b, -a) for a in range(len(agree)) for b in range(a + 1, len(agree) + 1)]
+        equal, minus, a = max(r for r in runs if 5 * r[0] >= -4 * r[1])
+        if equal >= 11:
+            truth[i] = (equal, -minus, 1 - a, -a)
+    assert truth[0][:2] == (26, 26) and truth[1][:2] == (13, 13) and 5 not in truth
+    got = C.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[2:] for r in got if r["doc_id"] == r["item_id"]} == truth
+
+
 # --- licenses
 
 
