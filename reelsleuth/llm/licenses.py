@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 GRAM, KEEP = 3, 2
 #: Diagonals searched on each side of a candidate's own; and the share of a template that a match must cover.
 BAND, LEAST_COVERAGE = 12, 0.8
+#: The number of a word that a match holds; unknown words are 0.
+TAKEN = -1
 #: Share of a template's kept fingerprints that a candidate needs.
 LEAST_VOTES = 0.25
 
@@ -93,8 +95,8 @@ class Index:
         at = at[known[at]]
         return at, mixed[at]
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, diagonal): clusters of shared fingerprints with near diagonals and votes enough."""
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(template, sorted (diagonal, place in the template) of its hits): clusters of shared fingerprints with near diagonals and votes enough."""
         at, grams = self.winnowed(words)
         hit = np.isin(grams, self.keys)
         by_template = defaultdict(list)
@@ -107,7 +109,7 @@ class Index:
             for d, p in [*found, (None, 0)]:
                 if group and (d is None or d - group[-1][0] > BAND):
                     if len({x[1] for x in group}) >= max(1, LEAST_VOTES * self.kept[t]):
-                        yield t, group[len(group) // 2][0]
+                        yield t, group
                     group = []
                 if d is not None:
                     group.append((d, p))
@@ -117,7 +119,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     """(equal words, first, last) of the best alignment of the template with words near a diagonal.
 
     Equal words score 2, others and gaps -1; the template may begin and end anywhere. Only cells within `band`
-    of the diagonal are filled. Of equal scores the earliest end wins.
+    of the diagonal are filled. Of equal scores the earliest end wins. No alignment goes through a word TAKEN.
     """
     width = 2 * band + 1
     none = (0, 0, -1, -1)  # score, equal, first, last
@@ -127,7 +129,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
         for k in range(width):
             j = i + diagonal + k - band
             cell = none
-            if 0 <= j < len(words):
+            if 0 <= j < len(words) and words[j] != TAKEN:
                 diag = row[k]
                 if template[i] == words[j]:
                     cell = (diag[0] + 2, diag[1] + 1, diag[2] if diag[0] > 0 else j, j)
@@ -143,6 +145,27 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     return best[1], best[2], best[3]
 
 
+def matches_of(template: np.ndarray, words: np.ndarray, hits: list[tuple[int, int]], least: float) -> list[tuple[int, int, int]]:
+    """align() of each match that a cluster of hits holds: along the median diagonal, then along all others.
+
+    A cluster may hold many copies, or parts of some and one whole. The words of each match are taken, so that the next one
+    is found beside it; a diagonal whose hits all lie in matches is done.
+    """
+    words, found = words.copy(), []
+    places = defaultdict(list)
+    for d, p in hits:
+        places[d].append(d + p)
+    for d in [hits[len(hits) // 2][0], *sorted(places)]:
+        at = places.pop(d, [])
+        while any(words[a] != TAKEN for a in at):
+            equal, first, last = align(template, words, d)
+            if not equal or equal / len(template) < least:
+                break
+            found.append((equal, first, last))
+            words[first : last + 1] = TAKEN
+    return found
+
+
 def scan_text(text: str | None, index: Index, least: float = LEAST_COVERAGE) -> list[tuple[str, int, int, int, float, int, int]]:
     """(license, template, equal words, template words, coverage, start, end) of each match, by start.
 
@@ -157,11 +180,9 @@ def scan_text(text: str | None, index: Index, least: float = LEAST_COVERAGE) ->
     if np.count_nonzero(words) < GRAM:
         return []
     matches = []
-    for t, diagonal in index.candidates(words):
-        equal, first, last = align(index.words[t], words, diagonal)
-        coverage = equal / len(index.words[t])
-        if coverage >= least:
-            matches.append((-equal, -coverage, t, first, last))
+    for t, hits in index.candidates(words):
+        for equal, first, last in matches_of(index.words[t], words, hits, least):
+            matches.append((-equal, -equal / len(index.words[t]), t, first, last))
     if not matches:
         return []
     spans = [(m.start(), m.end()) for m in WORD.finditer(lower)]

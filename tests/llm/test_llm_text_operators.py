@@ -116,6 +116,25 @@ def test_licenses_are_found_by_scanning_all_places():
             assert again and again[0][0] == name and 0.8 <= again[0][4] < 1
 
 
+def test_each_of_many_adjacent_notices_is_found():
+    rng, index = random.Random(2), L.Index()
+    for step in (5, 8, 12, 13, 30):
+        notice = "Released under the MIT License. "
+        body = " ".join(words(rng, 9)) + ". " + "".join(notice + " ".join(words(rng, step - 5)) + "\n" for _ in range(50))
+        found = L.scan_text(body, index)
+        assert [m[5] for m in found] == [m.start() for m in re.finditer("Released", body)], step
+        assert all(m[:2] == ("MIT", 0) and m[4] == 1.0 and body[m[5] : m[6]] == notice[:-2] for m in found)
+
+
+def test_a_whole_notice_in_a_chain_of_parts_is_found():
+    rng, index = random.Random(4), L.Index()
+    whole = L.TEMPLATES["MIT"][2]
+    part = " ".join(whole.split()[:4])
+    body = " ".join(f"{part} {' '.join(words(rng, 4))}" for _ in range(30))
+    for text in (f"{whole} {body}", f"{body} {whole}"):
+        assert [m[:2] + m[4:5] for m in L.scan_text(text, index)] == [("MIT", 2, 1.0)]
+
+
 def test_alignment_equals_the_whole_table():
     rng = np.random.default_rng(0)
     for _ in range(60):
