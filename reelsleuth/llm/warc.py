@@ -25,6 +25,8 @@ from .common import cut, fetch, fresh_dir, put
 
 #: Bytes of payload of one archive, about.
 ARCHIVE_BYTES = 8_000_000
+#: Compressed bytes that a gzip member is fed at a time.
+PIECE = 4096
 #: The record headers that the two versions of ARC declare.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -81,8 +83,21 @@ def arc_record(version: int, url: str, ip: str, date: str, kind: str, body: byte
 
 
 def inflate(raw: bytes) -> bytes:
-    """The members of a gzip file, one after the other; what isn't compressed stays as it is."""
-    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    """The members of a gzip file, one after the other; what isn't compressed stays as it is.
+
+    Each member is fed PIECE bytes at a time, so that what follows it isn't copied for every member. A member that is cut
+    off gives what it holds; what follows the last member and isn't one is left out.
+    """
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    view, at, out = memoryview(raw), 0, []
+    while raw[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(out)
 
 
 def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
@@ -161,16 +176,16 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
-def converted(record: ArcRecord, refers: tuple[str, str, str] | None) -> bytes:
+def converted(record: ArcRecord, refers: tuple[str, str, str] | None, digest: str | None = None) -> bytes:
     """The WARC record that an ARC record becomes: response for an HTTP reply, resource for another body, or a
-    revisit of (identifier, URL, date), which keeps the HTTP head alone."""
+    revisit of (identifier, URL, date), which keeps the HTTP head alone. `digest` is the payload's, where it is known."""
     head, payload = http_split(record.body)
-    date = arc_date(record.date)
+    date, digest = arc_date(record.date), digest or digest_of(payload)
     headers = [
         ("WARC-Type", "revisit" if refers else "response" if head else "resource"),
-        ("WARC-Record-ID", record_id(record.url, record.date, digest_of(payload))),
+        ("WARC-Record-ID", record_id(record.url, record.date, digest)),
         ("WARC-Date", date), ("WARC-Target-URI", record.url), ("WARC-IP-Address", record.ip if record.ip not in ("", "-") else None),
-        ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("X-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload))),
     ]
     block = record.body
     if refers:
@@ -203,11 +218,13 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id") -> DataFra
             for page, url, html in zip(batch["id"], batch["url"], batch["html"]):
                 if not zipped:
                     version, name = 1 + (part + k) % 2, f"pages-{part:06d}-{k:04d}.arc.gz"
-                    zipped, plain, records, payloads = [gzip.compress(arc_head(name, version), 6)], 0, 0, 0
+                    begin = arc_head(name, version)
+                    zipped, plain, records, payloads = [gzip.compress(begin, 6)], len(begin), 0, 0
                 payload = html.encode("utf-8", "replace") if isinstance(html, str) else b""
                 body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page if isinstance(page, str) else '-'}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-                zipped.append(gzip.compress(arc_record(version, url if isinstance(url, str) else "", "0.0.0.0", EPOCH, "text/html", body, name, plain), 6))
-                plain, records, payloads = plain + len(body), records + 1, payloads + len(payload)
+                record = arc_record(version, url if isinstance(url, str) else "", "0.0.0.0", EPOCH, "text/html", body, name, plain)
+                zipped.append(gzip.compress(record, 6))
+                plain, records, payloads = plain + len(record), records + 1, payloads + len(payload)
                 if payloads >= ARCHIVE_BYTES:
                     yield pd.DataFrame({"name": [put(folder, name, b"".join(zipped))], "records": [records]})
                     k, zipped = k + 1, []
@@ -263,26 +280,27 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, least_by
     """
     index = cut(arc_index(spark, arc_folder))
     plan = decisions(index, least_bytes).groupBy("archive").agg(F.collect_list(F.struct("at", "first_id", "first_url", "first_date", "digest")).alias("plan"))
+    digests = index.groupBy("archive").agg(F.collect_list(F.struct("at", "digest")).alias("digests"))  # an archive holds ARCHIVE_BYTES, about
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, plan in zip(batch["archive"], batch["plan"]):
-                refers = {}
+            for path, plan, digests in zip(batch["archive"], batch["plan"], batch["digests"]):
+                refers, known = {}, {d["at"]: d["digest"] for d in digests}
                 for p in plan if plan is not None else ():
                     refers[p["at"]] = (record_id(p["first_url"], p["first_date"], p["digest"]), p["first_url"], arc_date(p["first_date"]), p["first_id"])
                 name = posixpath.basename(path).replace(".arc", ".warc")
                 parts = [gzip.compress(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", arc_date(EPOCH)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: reelsleuth\r\nformat: WARC File Format 1.1\r\n"), 6)]
                 for r in parse_arc(fetch(path)):
                     to = refers.get(r.offset)
-                    made = converted(r, to[:3] if to else None)
+                    made = converted(r, to[:3] if to else None, known.get(r.offset))
                     if to and to[3] is not None and to[3] == to[3]:
                         made = made.replace(b"\r\nWARC-Profile:", f"\r\nX-Refers-To-Page: {int(to[3])}\r\nWARC-Profile:".encode(), 1)
                     parts.append(gzip.compress(made, 6))
                 put(warc_folder, name, b"".join(parts))
                 yield pd.DataFrame({"name": [name], "records": [len(parts) - 1]})
 
-    names = index.select("archive").distinct()
-    files = names.join(plan, "archive", "left").repartition(max(1, min(10_000, names.count())), "archive")
+    names = index.select("archive").distinct().count()
+    files = digests.join(plan, "archive", "left").repartition(max(1, min(10_000, names)), "archive")
     return files.mapInPandas(convert, "name string, records long")
 
 

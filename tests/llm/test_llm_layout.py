@@ -178,3 +178,29 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     packed = C.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == before > 0
     assert C.run(spark, SF).count() == packed.count()
+
+
+def test_many_small_members_inflate_quickly():
+    import gzip
+    import time
+
+    parts = [bytes([k % 251]) * (k % 700) for k in range(5000)]
+    raw = b"".join(gzip.compress(p, 6) for p in parts)
+    began = time.process_time()
+    assert W.inflate(raw) == b"".join(parts)
+    assert time.process_time() - began < 0.3
+    assert W.inflate(raw[:-3]) == b"".join(parts) and W.inflate(raw + b"\0\0") == b"".join(parts) and W.inflate(b"plain") == b"plain"
+
+
+def test_offsets_of_version_2_name_their_records(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * k) for k in range(5)], "page_id long, url string, html string").repartition(2, "page_id")
+    W.write_arc(pages, str(tmp_path)).collect()
+    seen = 0
+    for f in sorted(tmp_path.glob("*.arc.gz")):
+        data = W.inflate(f.read_bytes())
+        for r in W.parse_arc(data):
+            line = data[r.offset : data.index(b"\n", r.offset)].decode().split(" ")
+            if len(line) == 10:
+                assert line[7] == str(r.offset)
+                seen += 1
+    assert seen
