@@ -1,55 +1,133 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text, of order 2 over words.
+
+The chance of a word after another is a + g * l: a discounted count of the pair, the context's weight of the lower order, and the
+word's own chance by the number of words that it follows. In logarithms a text's loss is then a sum over its words and
+pairs, in which words and pairs that trusted text lacks add nothing but a constant:
+
+    log p(w | v) = log u + [log l(w) - log u] + [log g(v)] + [log(1 + a(v, w) / (g(v) l(w)))]
+
+with u the chance of an unseen word. So documents meet the model in joins of their counted words and pairs with the
+counts of trusted text, shard by shard of the context, and each document's shares are added up. Counts are of whole words, as many
+as the text has; tables and joins grow with it, and shards are as many as their size asks for.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fetch, fresh_dir, put
 
-#: Word classes: a token's hash names its class, 0 begins a text. Tables hold CLASSES squared numbers whatever the corpus.
-CLASSES = 2048
-#: Contexts of one shard of the count table.
-SHARD = 32
 #: Documents are scored by the model of the other fold's trusted text, so that no text vouches for itself.
 FOLDS = 2
-#: Of a language's trusted documents, the share that its threshold keeps; languages with fewer trusted ones share one threshold.
-KEEP, LEAST_TRUSTED = 0.995, 200
+#: Of a language's trusted documents, the shares that lie below its lower and above its upper threshold.
+BELOW, ABOVE = 0.0005, 0.005
 #: Tokens of average trusted text that are added to each text, so that a few odd words don't decide.
 PRIOR_TOKENS = 10
-#: Trusted ids that are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids or texts that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Bytes of trusted text of one shard, about; shards are a power of two.
+SHARD_BYTES = 12_000_000
+#: Symbols that are counted at once, and of a longer document's pieces.
+BLOCK = 1 << 20
+#: Bits of a fold's filter at most (16 MB): each pair of trusted text sets one. Pairs of texts whose bit isn't set don't travel; a
+#: full filter lets all of them through, so that its size bears on traffic alone.
+FILTER_BITS = 27
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
-class Classes:
-    """Token to class; what was hashed once is kept, up to a bound."""
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the power of each place in a megabyte, and its inverses, modulo 2^64."""
+    def table(base: int) -> np.ndarray:
+        out = np.full(1 << 20, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return table(_BASE), table(pow(_BASE, -1, 1 << 64))
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Classes of the whitespace-separated tokens of a text, after the class that begins it."""
-        known, out = self.known, [0]
-        for w in (text or "").split():
-            c = known.get(w)
-            if c is None:
-                if len(known) > 1_000_000:
-                    known.clear()
-                c = known[w] = 1 + xxhash.xxh32_intdigest(w.encode("utf-8", "replace"), 7) % (CLASSES - 1)
-            out.append(c)
-        return np.array(out, np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def pairs_of(classes: Classes, text: str | None) -> np.ndarray:
-    ids = classes.of(text)
-    return ids[:-1] * CLASSES + ids[1:]
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (32 bits each) of texts, one after the other, and how many each has.
+
+    A text with words has symbol 0, then its words' hashes; without words it has none. Words are runs between blanks
+    (x20, x09 to x0D). Each word's hash is a polynomial of its bytes, from running sums over all bytes.
+    """
+    arr = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(arr):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    _, offsets, buffer = arr.buffers()
+    offs = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    data = np.frombuffer(buffer, np.uint8)[offs[0] : offs[-1]] if buffer is not None else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    word = ~_BLANK[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    inner = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))]
+    first[inner] = word[inner]
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    last[inner - 1] = word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    up, down = _powers()
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + len(up), "right")))
+        part = data[starts[at] : ends[stop - 1]].astype(np.uint64) + np.uint64(1)
+        if len(part) > len(up):  # one word of over a megabyte
+            hashes[at] = np.bitwise_xor.reduce(_mixed(part + np.arange(len(part), dtype=np.uint64)))
+        else:
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)))
+            s, e = starts[at:stop] - starts[at], ends[at:stop] - starts[at]
+            hashes[at:stop] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        at = stop
+    ids = np.maximum(_mixed(hashes) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    many = np.searchsorted(starts, offs[1:]) - np.searchsorted(starts, offs[:-1])
+    sizes = many + (many > 0)
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.cumsum(many > 0), many)] = ids
+    return out, sizes
+
+
+def _pairs(syms: np.ndarray) -> np.ndarray:
+    """Each symbol with the one after it; the last of a text with 0, which begins the next."""
+    return syms.astype(np.uint64) << np.uint64(32) | np.append(syms[1:], np.uint32(0))
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted `keys`, and how often each occurs."""
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array as compressed bytes, the first bytes of all numbers first; of a rising one the steps."""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def unpack(raw: bytes, kind, rising: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -61,171 +139,275 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(found, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
 
 
-def continuation(kinds: np.ndarray) -> np.ndarray:
-    """Chance of each class as the end of a new pair, interpolated with the uniform chance."""
-    d = discounts(*[int((kinds == k).sum()) for k in range(1, 5)])
-    total = kinds.sum()
-    if not total:
-        return np.full(len(kinds), 1 / len(kinds))
-    cut_off = d[np.minimum(kinds, 3)]
-    return np.maximum(kinds - cut_off, 0) / total + cut_off.sum() / total / len(kinds)
+def _few(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in range(1, 5)]
 
 
-def log_chances(counts: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Natural logarithms of p(b | a) for rows a of `counts`."""
-    total = counts.sum(axis=1, keepdims=True)
-    cut_off = d[np.minimum(counts, 3)]
-    safe = np.maximum(total, 1)
-    p = np.maximum(counts - cut_off, 0) / safe + np.where(total > 0, cut_off.sum(axis=1, keepdims=True) / safe, 1.0) * lower
-    return np.log(p).astype(np.float32)
+def fold_of(text: Column) -> Column:
+    """Equal texts share a fold."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def _shards(keys: np.ndarray, bits: int, low: int) -> Iterator[tuple[int, slice]]:
+    """Parts of sorted `keys` by the top `bits` of what lies above their `low` lowest bits, all in 32 + low bits."""
+    shard = (keys >> np.uint64(32 + low - bits)).astype(np.int64)
+    names, at = np.unique(shard, return_index=True) if len(shard) else ([], [])
+    for k, s, e in zip(names, at, [*at[1:], len(keys)] if len(shard) else []):
+        yield int(k), slice(int(s), int(e))
+
+
+def _place(keys: np.ndarray, shard_bits: int, bits: int) -> np.ndarray:
+    """The filter's bit of each pair: those of a shard lie together."""
+    own = bits - shard_bits
+    shard = keys >> np.uint64(64 - shard_bits) if shard_bits else np.zeros(len(keys), np.uint64)
+    return shard << np.uint64(own) | _mixed(keys) >> np.uint64(64 - own)
 
 
 @lru_cache(maxsize=1)
-def load_tables(folder: str) -> np.ndarray:
-    """FOLDS x CLASSES x CLASSES log chances (16 MB) from the shards in `folder`, once a worker."""
-    lower = np.frombuffer(fetch(f"{folder}/lower"), np.float32).reshape(FOLDS, 1, CLASSES)
-    tables = np.repeat(lower.astype(np.float16), CLASSES, axis=1)
+def _filter(folder: str, shard_bits: int, bits: int) -> np.ndarray:
+    """FOLDS rows of a bit for each place, once a worker."""
+    size = max(1, (1 << bits >> shard_bits) // 8)
+    out = np.zeros((FOLDS, size << shard_bits), np.uint8)
     for name in fetch(f"{folder}/names").decode().split():
         fold, shard = map(int, name.split("-"))
-        tables[fold, shard * SHARD : (shard + 1) * SHARD] = np.frombuffer(fetch(f"{folder}/{name}"), np.float32).reshape(SHARD, CLASSES)
-    return tables
+        out[fold, shard * size : (shard + 1) * size] = np.frombuffer(fetch(f"{folder}/{name}"), np.uint8)
+    return out
 
 
-@dataclass
-class Model:
-    """folder: log chances by shard, in the shared folder, read by each worker; mean: of trusted tokens; thresholds by language."""
-
-    folder: str
-    mean: float
-    thresholds: dict
-    default: float | None
-
-    def score(self, text: Column, fold: Column) -> Column:
-        """struct(tokens long, loss double): tokens, and the sum of their negative log chances."""
-        folder = self.folder
-
-        def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            classes, tables = Classes(), load_tables(folder)
-            for texts, folds in batches:
-                out = []
-                for t, f in zip(texts, folds):
-                    pairs = pairs_of(classes, t)
-                    out.append((len(pairs), -float(tables[f].ravel()[pairs].sum(dtype=np.float64))))
-                yield pd.DataFrame(out, columns=["tokens", "loss"])
-
-        return F.pandas_udf("tokens long, loss double")(_typed(each))(text, fold)
-
-    def scored(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-        """`docs` with one more column, _quality: struct(tokens, perplexity, smoothed, threshold, keep)."""
-        raw = docs.withColumn("_q", self.score(F.col(text_col), fold_of(F.col(text_col))))
-        tokens, loss = F.col("_q.tokens"), F.col("_q.loss")
-        smoothed = F.exp((loss + PRIOR_TOKENS * self.mean) / (tokens + PRIOR_TOKENS))
-        limit = F.lit(self.default).cast("double")
-        if self.thresholds:
-            entries = [F.lit(x) for pair in sorted(self.thresholds.items()) for x in pair]
-            limit = F.coalesce(F.try_element_at(F.create_map(*entries), F.coalesce(lang_col, F.lit(""))), limit)
-        keep = (tokens > 0) & F.coalesce(smoothed <= limit, F.lit(True))
-        quality = F.struct(tokens.alias("tokens"), F.when(tokens > 0, F.exp(loss / tokens)).alias("perplexity"), smoothed.alias("smoothed"), limit.alias("threshold"), keep.alias("keep"))
-        return raw.withColumn("_quality", quality).drop("_q")
-
-
-def _typed(fn):
-    fn.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return fn
+_ROW = "kind string, fold int, shard int, block long, a binary, b binary, c binary, few array<long>"
+_COLUMNS = [x.split()[0] for x in _ROW.split(", ")]
+_SCHEMA = pa.schema([("kind", pa.string()), ("fold", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("few", pa.list_(pa.int64()))])
 
 
-def fold_of(text: Column) -> Column:
-    """Equal texts share a fold."""
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows), _SCHEMA)] if rows else [pa.array([], t.type) for t in _SCHEMA], schema=_SCHEMA)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pair counts of a task, as sparse shards: positions and counts."""
-    classes, counts = Classes(), np.zeros((FOLDS, CLASSES * CLASSES), np.int32)
-    for batch in batches:
-        for f in range(FOLDS):
-            texts = batch["text"][batch["fold"] == f]
-            for at in range(0, len(texts), 500):
-                if len(found := [pairs_of(classes, t) for t in texts[at : at + 500]]):
-                    ids, n = np.unique(np.concatenate(found), return_counts=True)
-                    counts[f, ids] += n.astype(np.int32)
-    for f in range(FOLDS):
-        for s, part in enumerate(counts[f].reshape(-1, SHARD * CLASSES)):
-            at = np.flatnonzero(part)
+class Model:
+    """Counts of trusted text by shard, and what joins need to know of all of them. Kept in the shared folder."""
+
+    def __init__(self, spark, parts: DataFrame | None, folder: str, shard_bits: int, filter_bits: int, stats: list) -> None:
+        self.spark, self.parts, self.folder, self.shard_bits, self.filter_bits, self.stats = spark, parts, folder, shard_bits, filter_bits, stats
+
+    def losses(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(key, tokens, loss) of each different text that has a word: key is its xxhash64, tokens its words and its end, loss the
+        sum of their negative log chances."""
+        shard_bits, folder, filter_bits, stats = self.shard_bits, self.folder, self.filter_bits, self.stats
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            seen, part, number = _filter(folder, shard_bits, filter_bits), TaskContext.get().partitionId(), 0
+            for batch in batches:
+                syms, sizes = symbols(batch.column("text"))
+                after = np.append(syms[1:], np.uint32(0))
+                # Pieces of BLOCK symbols at most; a block is some pieces of one fold.
+                many = -(-sizes // BLOCK)
+                doc = np.repeat(np.arange(len(sizes)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = (np.cumsum(sizes) - sizes)[doc] + piece * BLOCK
+                size = np.minimum(sizes[doc] - piece * BLOCK, BLOCK)
+                keys, folds = batch.column("key").to_numpy()[doc], batch.column("fold").to_numpy()[doc]
+                for f in range(FOLDS):
+                    own = np.flatnonzero(folds == f)
+                    names = (np.cumsum(size[own]) - size[own]) // BLOCK + np.arange(len(own)) // 60_000 * len(own)
+                    for at in np.split(own, np.flatnonzero(np.diff(names)) + 1) if len(own) else []:
+                        block, number = part << 32 | number, number + 1
+                        place = np.arange(int(size[at].sum())) - np.repeat(np.cumsum(size[at]) - size[at], size[at]) + np.repeat(start[at], size[at])
+                        who = np.repeat(np.arange(len(at), dtype=np.uint64), size[at])
+                        words = syms[place].astype(np.uint64)
+                        yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), pack(size[at].astype(np.int32)), None)])
+                        one, n = _counted(np.sort(words << np.uint64(16) | who))
+                        yield _rows([("words", f, s, block, pack(one[x], True), pack(n[x].astype(np.uint32)), None, None) for s, x in _shards(one, shard_bits, 16)])
+                        pairs = words << np.uint64(32) | after[place]
+                        spot = _place(pairs, shard_bits, filter_bits)
+                        hit = seen[f][(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                        pairs, who = pairs[hit], who[hit]
+                        order = np.argsort(pairs, kind="stable")
+                        pairs, who = pairs[order], who[order].astype(np.uint16)
+                        new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (who[1:] != who[:-1])))) if len(pairs) else np.zeros(0, np.int64)
+                        n = np.diff(np.append(new, len(pairs))).astype(np.uint32)
+                        pairs, who = pairs[new], who[new]
+                        yield _rows([("pairs", f, s, block, pack(pairs[x], True), pack(who[x]), pack(n[x]), None) for s, x in _shards(pairs, shard_bits, 32)])
+
+        def answer(got: pd.DataFrame) -> pd.DataFrame:
+            """Shares of a shard's words and pairs in the documents' losses, added by document."""
+            out = [("docs", f, 0, block, a, b, c, None) for f, block, a, b, c in got.loc[got["kind"] == "docs", ["fold", "block", "a", "b", "c"]].itertuples(index=False)]
+            d1, types, unseen, d2 = stats[int(got["fold"].iloc[0])]
+            by = {k: x for k, x in got.groupby("kind")}
+
+            def words_of(kind: str) -> tuple[np.ndarray, np.ndarray]:
+                parts = [(unpack(a, np.uint32, True), unpack(b, np.uint32)) for a, b in zip(by[kind]["a"], by[kind]["b"])] if kind in by else []
+                w, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+                order = np.argsort(w)
+                return w[order], n[order]
+
+            def chance(n: np.ndarray) -> np.ndarray:
+                return (n - d1[np.minimum(n, 3)]) / types + unseen
+
+            table = [(unpack(a, np.uint64, True), unpack(b, np.uint32)) for a, b in zip(by["table"]["a"], by["table"]["b"])] if "table" in by else []
+            keys, n = table[0] if table else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            heads, at = (keys >> np.uint64(32)).astype(np.uint32), np.zeros(0, np.int64)
+            gain = np.zeros(len(keys))
+            if len(keys):
+                at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
+                total, cut_off = np.add.reduceat(n.astype(np.int64), at), np.add.reduceat(d2[np.minimum(n, 3)], at)
+                weight, each = cut_off / total, np.diff(np.append(at, len(keys)))
+                lw, ln = words_of("lower")
+                low = chance(ln[np.searchsorted(lw, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))])
+                gain = np.log1p((n - d2[np.minimum(n, 3)]) / np.repeat(total, each) / (np.repeat(weight, each) * low))
+                heads = heads[at]
+            uw, un = words_of("uni")
+            own = np.union1d(heads, uw)
+            value = np.zeros(len(own))
+            value[np.searchsorted(own, uw)] += np.log(chance(un) / unseen)
             if len(at):
-                yield pd.DataFrame({"fold": [f], "shard": [s], "at": [at.astype(np.uint16).tobytes()], "n": [part[at].tobytes()]})
+                value[np.searchsorted(own, heads)] += np.log(weight)
+            shares: dict[int, tuple] = {}
+
+            def add(block: int, who: np.ndarray, x: np.ndarray) -> None:
+                one, back = np.unique(who, return_inverse=True)
+                shares.setdefault(block, []).append((one.astype(np.uint16), np.bincount(back, x, len(one))))
+
+            def found(table: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(table, asked), max(0, len(table) - 1))
+                return np.where(table[at] == asked, values[at], 0.0) if len(table) else np.zeros(len(asked))
+
+            if "words" in by:
+                for block, a, b in by["words"][["block", "a", "b"]].itertuples(index=False):
+                    both = unpack(a, np.uint64, True)
+                    add(block, both & np.uint64(0xFFFF), found(own, value, (both >> np.uint64(16)).astype(np.uint32)) * unpack(b, np.uint32))
+            if "pairs" in by:
+                for block, a, b, c in by["pairs"][["block", "a", "b", "c"]].itertuples(index=False):
+                    add(block, unpack(b, np.uint16), found(keys, gain, unpack(a, np.uint64, True)) * unpack(c, np.uint32))
+            fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
+            for block, parts in shares.items():
+                for who, x in parts:
+                    out.append(("share", fold, shard, block, pack(who), pack(x.astype(np.float32)), None, None))
+            return pd.DataFrame(out, columns=_COLUMNS)
+
+        def total(got: pd.DataFrame) -> pd.DataFrame:
+            """The losses of a block's documents."""
+            (fold, a, b, c), = got.loc[got["kind"] == "docs", ["fold", "a", "b", "c"]].itertuples(index=False)
+            keys, piece, size = unpack(a, np.int64), unpack(b, np.int32), unpack(c, np.int32)
+            sums = np.zeros(len(keys))
+            shares = got[got["kind"] == "share"]
+            for who, x in sorted(zip(shares["a"], shares["b"])):  # in one order, whatever the order they came in
+                sums[unpack(who, np.uint16)] += unpack(x, np.float32)
+            return pd.DataFrame({"key": keys, "piece": piece, "tokens": size, "loss": -size * np.log(stats[int(fold)][2]) - sums})
+
+        asked = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), fold_of(F.col(text_col)).alias("fold")).mapInArrow(ask, _ROW)
+        met = asked if self.parts is None else asked.unionByName(self.parts)
+        answered = met.groupBy("fold", "shard").applyInPandas(answer, _ROW)
+        each = answered.groupBy("block").applyInPandas(total, "key long, piece int, tokens int, loss double")
+        # Copies of a text have the same pieces; each counts once.
+        once = each.groupBy("key", "piece").agg(F.max("tokens").alias("tokens"), F.max("loss").alias("loss"))
+        return once.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
+    """The Model of all texts of `docs`: each fold's is counted from the texts of the other fold."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shard_bits = max(0, min(20, int(np.ceil(np.log2(max(1, size / SHARD_BYTES))))))
+    filter_bits = max(shard_bits + 3, min(FILTER_BITS, int(np.ceil(np.log2(max(8, size))))))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            syms, sizes = symbols(batch.column("text"))
+            keys, folds = _pairs(syms), np.repeat(batch.column("fold").to_numpy(), sizes)
+            for f in range(FOLDS):
+                own = keys[folds == (f + 1) % FOLDS]
+                for at in range(0, len(own), 2 * BLOCK):
+                    one, n = _counted(np.sort(own[at : at + 2 * BLOCK]))
+                    yield _rows([("count", f, s, 0, pack(one[x], True), pack(n[x].astype(np.uint32)), None, None) for s, x in _shards(one, shard_bits, 32)])
 
-def _add(got: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a shard, and what the discounts need of it."""
-    total = np.zeros(SHARD * CLASSES, np.int64)
-    for at, n in zip(got["at"], got["n"]):
-        total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32)
-    kinds = (total.reshape(SHARD, CLASSES) > 0).sum(axis=0)
-    return pd.DataFrame({"fold": got["fold"][:1], "shard": got["shard"][:1], "n": [total.tobytes()], "kinds": [kinds.astype(np.int64).tobytes()], "few": [[int((total == k).sum()) for k in range(1, 5)]]})
+    folder = fresh_dir(spark, "quality")
 
+    def gather(got: pd.DataFrame) -> pd.DataFrame:
+        """The sums of a shard, how many contexts each word has in it, and its part of the filter."""
+        keys = np.concatenate([unpack(a, np.uint64, True) for a in got["a"]])
+        n = np.concatenate([unpack(b, np.uint32) for b in got["b"]]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, n = keys[at], np.add.reduceat(n, at)
+        fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
+        bits = np.zeros(max(8, 1 << filter_bits >> shard_bits), np.uint8)
+        bits[(_place(keys, shard_bits, filter_bits) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        name = put(folder, f"{fold}-{shard}", np.packbits(bits, bitorder="little").tobytes())
+        out = [("table", fold, shard, 0, pack(keys, True), pack(np.minimum(n, 2**32 - 1).astype(np.uint32)), name.encode(), _few(n))]
+        words, many = _counted(np.sort(keys & np.uint64(0xFFFFFFFF)))
+        out += [("words", fold, s, shard, pack(words[x].astype(np.uint32), True), pack(many[x].astype(np.uint32)), None, None) for s, x in _shards(words, shard_bits, 0)]
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+    def lower(got: pd.DataFrame) -> pd.DataFrame:
+        """How many contexts each word of a shard has in all, told to each shard that asked."""
+        parts = [(unpack(a, np.uint32, True), unpack(b, np.uint32)) for a, b in zip(got["a"], got["b"])]
+        words, back = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([m for _, m in parts])).astype(np.int64)
+        fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
+        out = [("uni", fold, shard, 0, pack(words, True), pack(n.astype(np.uint32)), None, [*_few(n), int(n.sum()), len(n)])]
+        out += [("lower", fold, int(to), 0, pack(w, True), pack(n[np.searchsorted(words, w)].astype(np.uint32)), None, None) for to, (w, _) in zip(got["block"], parts)]
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+    counted = docs.select(F.col(text_col).alias("text"), fold_of(F.col(text_col)).alias("fold")).mapInArrow(count, _ROW)
+    tables = cut(counted.groupBy("fold", "shard").applyInPandas(gather, _ROW))
+    named = cut(tables.where("kind = 'words'").groupBy("fold", "shard").applyInPandas(lower, _ROW))
+    few = {r["fold"]: [r[f"n{k}"] for k in range(4)] for r in tables.where("kind = 'table'").groupBy("fold").agg(*[F.sum(F.col("few")[k]).alias(f"n{k}") for k in range(4)]).collect()}
+    uni = {r["fold"]: [r[f"n{k}"] for k in range(6)] for r in named.where("kind = 'uni'").groupBy("fold").agg(*[F.sum(F.col("few")[k]).alias(f"n{k}") for k in range(6)]).collect()}
+    stats = []
+    for f in range(FOLDS):
+        *ns, types, words = uni.get(f, [0] * 6)
+        d1 = discounts(*ns)
+        # What discounts take from words' chances, shared by all words and one more, which stands for unseen ones.
+        taken = d1[1] * ns[0] + d1[2] * ns[1] + d1[3] * (words - ns[0] - ns[1])
+        stats.append((d1, max(1, types), (taken / types if types else 1.0) / (words + 1), discounts(*few.get(f, [0] * 4))))
+    names = [bytes(r["c"]).decode() for r in tables.where("kind = 'table'").select("c").collect()]  # a name a shard
+    put(folder, "names", " ".join(sorted(names)).encode())
+    parts = tables.where("kind = 'table'").unionByName(named).withColumn("few", F.lit(None).cast("array<long>"))
+    return Model(spark, parts, folder, shard_bits, filter_bits, stats)
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A Model of all documents that `labels` calls good (quality 1), and thresholds from their own perplexities.
 
-    Counts are summed by shard of the context; shards meet the continuation chances and discounts to give
-    log chances, which tasks write to the shared folder and workers read: CLASSES squared numbers a fold, however
-    large the corpus is. The driver holds CLASSES numbers a shard.
-    """
-    spark = docs.sparkSession
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(doc_id, lang, key, tokens, perplexity, smoothed, low, threshold, keep) for each row of `docs`."""
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("trusted_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(lang_col, F.lit("")).alias("lang"), fold_of(F.col(text_col)).alias("fold"))
-    trusted = own.join(ids, own["doc_id"] == ids["trusted_id"], "left_semi")
-    # A fold's model comes from the other fold's text.
-    counted = trusted.select("text", ((F.col("fold") + 1) % FOLDS).alias("fold")).mapInPandas(_count, "fold int, shard int, at binary, n binary")
-    sums = cut(counted.groupBy("fold", "shard").applyInPandas(_add, "fold int, shard int, n binary, kinds binary, few array<long>"))
-    kinds, few = np.zeros((FOLDS, CLASSES), np.int64), np.zeros((FOLDS, 4), np.int64)
-    for r in sums.select("fold", "kinds", "few").collect():  # FOLDS x CLASSES / SHARD rows
-        kinds[r["fold"]] += np.frombuffer(r["kinds"], np.int64)
-        few[r["fold"]] += r["few"]
-    lower, d = [continuation(k) for k in kinds], [discounts(*x) for x in few]
-    folder = fresh_dir(spark, "quality")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names = []
-            for f, shard, n in zip(batch["fold"], batch["shard"], batch["n"]):
-                logs = log_chances(np.frombuffer(n, np.int64).reshape(SHARD, CLASSES), d[f], lower[f])
-                names.append(put(folder, f"{f}-{shard}", logs.tobytes()))
-            yield pd.DataFrame({"name": names})
-
-    names = [r["name"] for r in sums.select("fold", "shard", "n").mapInPandas(finish, "name string").collect()]
-    put(folder, "lower", np.log(np.stack(lower)).astype(np.float32).tobytes())
-    put(folder, "names", " ".join(sorted(names)).encode())
-    model = Model(folder, 0.0, {}, None)
-    q = F.col("q")
-    seen = cut(trusted.select("lang", model.score(F.col("text"), F.col("fold")).alias("q")).where("q.tokens > 0").select("lang", q["tokens"].alias("tokens"), q["loss"].alias("loss")))
-    total = seen.agg(F.sum("loss").alias("loss"), F.sum("tokens").alias("tokens")).first()
-    if not total["tokens"]:
-        return model
-    model.mean = total["loss"] / total["tokens"]
-    smoothed = F.exp((F.col("loss") + PRIOR_TOKENS * model.mean) / (F.col("tokens") + PRIOR_TOKENS))
-    limit = F.percentile_approx(smoothed, KEEP, 100_000)
-    model.default = seen.agg(limit.alias("limit")).first()["limit"]
-    many = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), limit.alias("limit")).where(F.col("n") >= LEAST_TRUSTED)
-    model.thresholds = {r["lang"]: r["limit"] for r in many.orderBy(F.desc("n"), "lang").limit(1000).collect()}  # there are fewer languages
-    return model
+    trusted = docs.join(ids, docs[id_col] == ids["trusted_id"], "left_semi")
+    losses = fit(trusted, text_col).losses(docs, text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"))
+    own = cut(own.join(losses, "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))))
+    known = own.join(ids, own["doc_id"] == ids["trusted_id"], "left_semi").where("tokens > 0")
+    mean = known.agg(F.sum("loss") / F.sum("tokens")).first()[0] or 0.0
+    smoothed = F.exp((F.coalesce("loss", F.lit(0.0)) + PRIOR_TOKENS * mean) / (F.col("tokens") + PRIOR_TOKENS))
+    limits = lambda: [F.percentile_approx(smoothed, BELOW, 100_000).alias("low"), F.percentile_approx(smoothed, 1 - ABOVE, 100_000).alias("threshold")]
+    every = known.agg(*limits()).first()
+    # A language without trusted rows has all trusted rows' thresholds.
+    by_lang = known.groupBy("lang").agg(*limits())
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= BROADCAST_IDS else by_lang
+    found = own.join(by_lang.withColumnRenamed("lang", "known_lang"), F.col("lang").eqNullSafe(F.col("known_lang")), "left").drop("known_lang")
+    for name in ("low", "threshold"):
+        found = found.withColumn(name, F.coalesce(name, F.lit(every[name]).cast("double")))
+    inside = F.coalesce((smoothed <= F.col("threshold")) & (smoothed >= F.col("low")), F.lit(True))
+    perplexity = F.when(F.col("tokens") > 0, F.exp(F.col("loss") / F.col("tokens")))
+    return found.select("doc_id", "lang", "key", F.col("tokens").cast("long").alias("tokens"), perplexity.alias("perplexity"), smoothed.alias("smoothed"), "low", "threshold", ((F.col("tokens") > 0) & inside).alias("keep"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, tokens, perplexity, smoothed, threshold, keep) for each row of `docs`.
+    """(doc_id, lang, tokens, perplexity, smoothed, low, threshold, keep) for each row of `docs`.
 
-    A text is kept if its perplexity, smoothed by PRIOR_TOKENS tokens of average trusted text, is within its
-    language's threshold. Null, empty and blank texts have no perplexity and aren't kept. A null language is a
-    language by itself. Equal texts are judged alike; repeated rows appear again; without trusted rows there is
+    A text is kept if its perplexity, smoothed by PRIOR_TOKENS tokens of average trusted text, lies between its
+    language's two thresholds: junk lies above, a few words over and over below. Null, empty and blank texts have no perplexity
+    and aren't kept. A null language is a language by itself; a language without trusted texts has the
+    thresholds of all. Equal texts of a language are judged alike; repeated rows appear again; without trusted rows there is
     no threshold and every text with a token is kept; an empty table gives no rows; other columns are ignored.
     """
-    model = fit(docs, labels, id_col, text_col, lang_col)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return model.scored(own).select("doc_id", "lang", "_quality.*")
+    return _judged(docs, labels, id_col, text_col, lang_col).drop("key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that judge() keeps; one pass, no shuffle of texts."""
-    return fit(docs, labels).scored(docs).where("_quality.keep").drop("_quality")
+    """The rows of `docs`, all columns, that judge() keeps. Texts aren't shuffled where few are rejected."""
+    bad = cut(_judged(docs, labels, "doc_id", "text", "lang").where(~F.col("keep")).select(F.col("key").alias("bad_key"), F.col("lang").alias("bad_lang")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_key"]) & docs["lang"].eqNullSafe(bad["bad_lang"])
+    return docs.join(bad, same, "left_anti")

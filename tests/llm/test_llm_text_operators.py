@@ -359,29 +359,84 @@ def test_personal_data_of_odd_rows(spark, odd):
 # --- quality
 
 
-def test_chances_sum_to_one():
-    rng = np.random.default_rng(0)
-    counts = rng.poisson(0.4, (Q.SHARD, 200))
-    counts[3] = 0
-    kinds = (counts > 0).sum(axis=0)
-    d = Q.discounts(*[int((counts == k).sum()) for k in range(1, 5)])
-    p = np.exp(Q.log_chances(counts, d, Q.continuation(kinds)).astype(float))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and Q.continuation(kinds).sum() == pytest.approx(1)
-
-
-def test_counts_equal_brute_force(spark):
-    texts = [("a b a b", 0), ("b a", 1), (None, 0), ("", 1), ("c", 0)]
-    got = list(Q._count(iter([pd.DataFrame(texts, columns=["text", "fold"])])))
-    classes, want = Q.Classes(), {}
-    for t, f in texts:
-        for p in Q.pairs_of(classes, t):
-            want[f, int(p)] = want.get((f, int(p)), 0) + 1
-    found = {}
-    for g in got:
-        for f, s, at, n in g.itertuples(index=False):
-            for a, k in zip(np.frombuffer(at, np.uint16), np.frombuffer(n, np.int32)):
-                found[f, s * Q.SHARD * Q.CLASSES + int(a)] = int(k)
-    assert found == want
+def test_symbols_name_words():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [None, "", " \t", "one", "one ", " two  one\n", "long" * 600_000, "é\u00a0ü one"] + ["".join(rng.choice("ab é\n\x0b") for _ in range(rng.randrange(40))) for _ in range(300)] + ["one"]
+    syms, sizes = Q.symbols(pa.array(texts))
+    known, at = {}, 0
+    for t, n in zip(texts, sizes):
+        want = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        own = syms[at : at + n].tolist()
+        at += n
+        assert n == (len(want) + 1 if want else 0) and (not want or own[0] == 0)
+        for w, x in zip(want, own[1:]):
+            assert known.setdefault(w, x) == x and x
+    assert at == len(syms) and len(set(known.values())) == len(known)
+    part = pa.array(texts)[5:9]
+    assert Q.symbols(part)[0].tolist() == syms[sizes[:5].sum() : sizes[:9].sum()].tolist()
+
+
+def direct_losses(rows):
+    """Loss of each text by interpolation, pair by pair, over dictionaries."""
+    from collections import Counter
+
+    chain = lambda t: ["", *t.split(), ""]
+    out = {}
+    for fold in (0, 1):
+        pairs = Counter(p for t, f in rows if f != fold and t.split() for p in zip(chain(t), chain(t)[1:]))
+        heads, ends = Counter(), Counter(w for _, w in pairs)
+        kinds = {}
+        for (v, _), n in pairs.items():
+            heads[v] += n
+            kinds.setdefault(v, []).append(n)
+        few = lambda values: [sum(x == k for x in values) for k in range(1, 5)]
+        d2, d1 = Q.discounts(*few(pairs.values())), Q.discounts(*few(ends.values()))
+        left = sum(d1[min(n, 3)] for n in ends.values()) / len(pairs) / (len(ends) + 1)
+
+        def low(w):
+            return (max(ends[w] - d1[min(ends[w], 3)], 0) / len(pairs) if w in ends else 0) + left
+
+        assert sum(low(w) for w in ends) + left == pytest.approx(1)
+
+        def chance(v, w):
+            if v not in heads:
+                return low(w)
+            n = pairs.get((v, w), 0)
+            return (n - d2[min(n, 3)] if n else 0) / heads[v] + sum(d2[min(k, 3)] for k in kinds[v]) / heads[v] * low(w)
+
+        for t, f in rows:
+            if f == fold and t.split():
+                out[t] = -sum(np.log(chance(*p)) for p in zip(chain(t), chain(t)[1:]))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_perplexity_equals_brute_force(spark, monkeypatch, small):
+    from pyspark.sql import functions as F
+
+    if small:  # several shards, pieces of texts, and a filter that is full
+        monkeypatch.setattr(Q, "SHARD_BYTES", 2000)
+        monkeypatch.setattr(Q, "BLOCK", 16)
+        monkeypatch.setattr(Q, "FILTER_BITS", 8)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    texts += [texts[1], texts[2], "new words only", "w1 " * 40, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("fold", Q.fold_of(F.col("text")))
+    rows = [(r["text"], r["fold"]) for r in docs.collect()]
+    got = {r["key"]: r for r in Q.fit(docs).losses(docs).collect()}
+    keys = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    want = direct_losses(rows)
+    assert set(got) == {keys[t] for t in want}
+    for t, loss in want.items():
+        assert got[keys[t]]["loss"] == pytest.approx(loss, rel=1e-5) and got[keys[t]]["tokens"] == len(t.split()) + 1
+
+
+def test_ties_at_the_thresholds_are_kept(spark):
+    rows = [(i, "all alike here", "en") for i in range(5)] + [(9, "all alike here", None)]
+    got = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")).toPandas()
+    assert got.keep.all() and got.smoothed.nunique() == 1
 
 
 def test_junk_is_rejected_and_clean_text_kept(spark):
