@@ -3,6 +3,9 @@
 Two fingerprints within `radius` bits of each other differ by at most radius // 2 bits in one of their
 halves. A vantage-point tree for each half therefore has to be searched at that smaller radius only,
 and every pair that it offers is checked on all 64 bits.
+
+Near copies by likeness (near_copies) need more bits: at a Jaccard similarity of 0.8 a sixth of a fingerprint's bits differ. Theirs
+have 256, in BANDS bands of BAND_BITS with a tree each, searched at radius 1; every pair is checked on all bits.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +23,18 @@ from pyspark.sql import types as T
 
 from .common import cut
 from .components import connected_components
+from .quality import _mixed, symbols
 
 RADIUS = 3
 #: Fingerprints that live in one leaf, about; a leaf with twice as many is searched in tiles.
 LEAF = 2048
 #: Fingerprints that the driver draws to place vantage points: so many a leaf, and at most so many.
 SAMPLE_PER_LEAF, SAMPLE_MOST = 48, 1 << 19
-HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
+#: (column, bits) that a tree lives on.
+HALVES = ((0, np.uint64(0xFFFFFFFF00000000)), (0, np.uint64(0x00000000FFFFFFFF)))
+#: Columns of 64 bits of a wide fingerprint, and its bands: three to a column.
+LANES, BAND_BITS = 4, 20
+BANDS = tuple((lane, np.uint64(((1 << BAND_BITS) - 1) << (BAND_BITS * k))) for lane in range(LANES) for k in range(3))
 
 
 def simhash64(text: str | None, words_each: int = 3) -> int:
@@ -111,61 +121,65 @@ class Tree:
         return row, node, home
 
 
-def leaf_edges(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between the homes and all fingerprints of a leaf.
+def leaf_edges(fps: np.ndarray, home: np.ndarray, radius: int, band: tuple[int, np.uint64] = HALVES[0], near: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as rows, of the links between the homes and all fingerprints (n, columns) of a leaf.
 
-    Fingerprints are ordered by distance to one of them; each block of homes is compared with those only
-    whose distance is within the radius of the block's. Of a clique only as many links leave as it has
-    members, so no square of a group's size is ever emitted.
+    Linked are those that differ by `near` bits at most in the tree's band and by `radius` in all. Of a clique only as many
+    links leave as it has members, so no square of a group's size is ever emitted.
     """
-    if len(fps) == 0:
-        return fps, fps
-    far = np.bitwise_count(fps ^ fps[0]).astype(np.int16)
-    order = np.argsort(far, kind="stable")
-    fps, home, far = fps[order], home[order], far[order]
-    at, label, out = np.flatnonzero(home), np.arange(len(fps)), []
+    own, at, label, out = fps[:, band[0]] & band[1], np.flatnonzero(home), np.arange(len(fps)), []
     for i in range(0, len(at), 128):
         rows = at[i : i + 128]
-        lo, hi = np.searchsorted(far, far[rows[0]] - radius), np.searchsorted(far, far[rows[-1]] + radius, "right")
-        near = np.bitwise_count(fps[rows, None] ^ fps[None, lo:hi]) <= radius
-        for k in np.flatnonzero(near.sum(axis=1) > 1):
-            r = rows[k]
-            labels, first = np.unique(label[lo + np.flatnonzero(near[k])], return_index=True)
-            other = labels != label[r]
-            if other.any():
-                joined = lo + np.flatnonzero(near[k])[first[other]]
-                out += [(r, j) for j in joined]
-                label[np.isin(label, labels)] = min(labels.min(), label[r])
-    if not out:
-        return fps[:0], fps[:0]
-    a, b = np.array(out).T
-    return fps[a], fps[b]
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """(a, b): links between the fingerprints in column `fp`, enough of them to join each group of links.
-
-    No link between different groups is lost or added: pairs are exact. `distinct` must hold each
+        r, c = (np.bitwise_count(own[rows, None] ^ own[None, :]) <= near).nonzero()
+        some = rows[r] != c
+        r, c = r[some], c[some]
+        close = np.zeros(len(r), np.int16)
+        for k in range(fps.shape[1]):
+            close += np.bitwise_count(fps[rows[r], k] ^ fps[c, k])
+        r, c = r[close <= radius], c[close <= radius]
+        for k, first, last in zip(*(x.tolist() for x in _runs(r))):
+            row, others = rows[k], c[first:last]
+            labels, one = np.unique(label[others], return_index=True)
+            new = labels != label[row]
+            if new.any():
+                out += [(row, j) for j in others[one[new]]]
+                label[np.isin(label, labels)] = min(labels.min(), label[row])
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first, last) of the runs of equal values in a sorted array."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return x[first], first, np.append(first[1:], len(x))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF, columns: tuple[str, ...] = ("fp",), bands: tuple = HALVES, near: int | None = None) -> DataFrame:
+    """(a, b): links between the nodes of `distinct` (node, columns), enough of them to join each group of links.
+
+    Two nodes link that differ by `radius` bits at most, and in some band by `near` at most; near is radius // 2 for two
+    halves, where no link is lost. Pairs are exact. `distinct` must hold each
     fingerprint once. The driver keeps at most SAMPLE_MOST fingerprints, to place vantage points.
     """
     spark = distinct.sparkSession
     n = distinct.count()
     depth = min(14, max(0, int(np.ceil(np.log2(max(1, n) / leaf)))))
     some = min(SAMPLE_MOST, SAMPLE_PER_LEAF << depth) if depth else 0
-    drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(some).collect() if some else []
-    sample = np.array([r["fp"] for r in drawn], np.int64).view(np.uint64)
-    trees = [Tree(sample, mask, depth) for mask in HALVES]
-    near = radius // 2
+    drawn = distinct.orderBy(F.xxhash64(*columns), *columns).limit(some).collect() if some else []
+    sample = np.array([[r[c] for c in columns] for r in drawn], np.int64).reshape(-1, len(columns)).view(np.uint64)
+    trees = [Tree(sample[:, column], mask, depth) for column, mask in bands]
+    near = radius // 2 if near is None else near
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 20_000):
-                fps = batch["fp"].to_numpy()[at : at + 20_000]
-                for i, tree in enumerate(trees):
-                    row, node, home = tree.route(fps.view(np.uint64), near)
-                    yield pd.DataFrame({"leaf": node * 2 + i, "fp": fps[row], "home": home})
+                part = batch.iloc[at : at + 20_000]
+                for i, (tree, (column, _)) in enumerate(zip(trees, bands)):
+                    row, node, home = tree.route(part[columns[column]].to_numpy().view(np.uint64), near)
+                    yield part.iloc[row].assign(leaf=node * len(trees) + i, home=home)[["leaf", "home", "node", *columns]]
 
-    placed = distinct.select("fp").mapInPandas(route, "leaf long, fp long, home boolean")
+    fps = ", ".join(f"{c} long" for c in columns)
+    placed = distinct.select("node", *columns).mapInPandas(route, f"leaf long, home boolean, node long, {fps}")
     # A leaf with too many homes is searched in tiles: each has some of its homes and all that is in it.
     tiles = placed.where("home").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).cast("int").alias("tiles"))
     many = {r["leaf"]: r["tiles"] for r in tiles.where("tiles > 1").collect()}  # at most as many as leaves
@@ -173,13 +187,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFr
         few = spark.createDataFrame([(k, v) for k, v in many.items()], "leaf long, tiles int")
         placed = placed.join(F.broadcast(few), "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         placed = placed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        placed = placed.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("tiles")) == F.col("tile")))
+        placed = placed.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("node"), F.col("tiles")) == F.col("tile")))
     else:
         placed = placed.withColumn("tile", F.lit(0))
 
     def search(got: pd.DataFrame) -> pd.DataFrame:
-        a, b = leaf_edges(got["fp"].to_numpy().view(np.uint64), got["home"].to_numpy(), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        fps, nodes = got[list(columns)].to_numpy().view(np.uint64), got["node"].to_numpy()
+        a, b = leaf_edges(fps, got["home"].to_numpy(), radius, bands[int(got["leaf"].iloc[0]) % len(bands)], near)
+        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
     return placed.groupBy("leaf", "tile").applyInPandas(search, "a long, b long")
 
@@ -193,20 +208,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored; an empty table gives no rows.
     """
     own = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links(distinct, radius))
-    by_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = by_fp.join(least, "root").select("fp", "component_id")
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))).withColumn("node", F.col("fp"))
+    named = _components(distinct, links(distinct, radius)).withColumnRenamed("node", "fp")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs`, all columns, that stand for their component: those with its smallest doc_id.
+def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component_id): of (node, first_id) and links, the smallest first_id of each node's component."""
+    roots = connected_components(edges).withColumnRenamed("node", "linked")
+    by_node = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = by_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return by_node.join(least, "root").select("node", "component_id")
+
+
+def wide_fingerprints(texts: pa.Array, words_each: int) -> np.ndarray:
+    """(n, LANES): 64 x LANES bits of SimHash over the different word shingles of each text, ASCII letters lower-cased.
+
+    Fewer words than a shingle holds make one shingle; no words make zeros.
+    """
+    syms, sizes = symbols(pc.ascii_lower(texts.cast(pa.large_string())))
+    out = np.zeros((len(sizes), LANES), np.uint64)
+    first = np.cumsum(sizes) - sizes + 1  # after the symbol that begins a text
+    many = np.where(sizes > 0, np.maximum(sizes - words_each, 1), 0)
+    weights = _mixed(np.arange(1, words_each + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    at = 0
+    while at < len(sizes):  # some texts at once, about 50,000 shingles
+        stop = at + max(1, int(np.searchsorted(np.cumsum(many[at : at + 50_000]), 50_000, "right")))
+        doc = np.repeat(np.arange(stop - at), many[at:stop])
+        if len(doc):
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(many[at:stop]) - many[at:stop], many[at:stop]) + first[at:stop][doc]
+            end = (first + sizes - 1)[at:stop][doc]
+            h = np.zeros(len(doc), np.uint64)
+            for k in range(words_each):
+                h += np.where(place + k < end, syms[np.minimum(place + k, len(syms) - 1)], 0).astype(np.uint64) * weights[k]
+            one = np.sort(doc.astype(np.uint64) << np.uint64(44) | _mixed(h) >> np.uint64(20))
+            one = one[np.concatenate(([True], one[1:] != one[:-1]))]
+            owner, heads, tails = _runs((one >> np.uint64(44)).astype(np.int64))
+            half = (tails - heads)[:, None]
+            one &= np.uint64((1 << 44) - 1)
+            for lane in range(LANES):
+                for s, e, rows in _slices(heads, tails, 65_536):
+                    bits = np.unpackbits(_mixed(one[s:e] + np.uint64(lane + 1 << 48)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                    ones = np.add.reduceat(bits, heads[rows] - s, axis=0, dtype=np.int32)
+                    packed = np.packbits(2 * ones > half[rows], axis=1)
+                    out[at + owner[rows], lane] = packed.view(">u8")[:, 0]
+        at = stop
+    return out
+
+
+def _slices(heads: np.ndarray, tails: np.ndarray, size: int) -> Iterator[tuple[int, int, slice]]:
+    """(first, last, runs) of neighbouring runs of about `size` places, a longer run by itself."""
+    k = 0
+    while k < len(heads):
+        stop = max(k + 1, int(np.searchsorted(tails, heads[k] + size, "right")))
+        yield int(heads[k]), int(tails[stop - 1]), slice(k, stop)
+        k = stop
+
+
+def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
+    """Bits by which two texts of equally many shingles and this Jaccard similarity differ, on average, and a deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_key, component_id) for each row of `docs`: groups of texts of `similarity` or more, judged by wide SimHash.
+
+    Two texts link whose 256 bits differ by radius_of(similarity) at most and whose bits differ by 1 at most in one of the 12 bands of 20.
+    Of pairs at 0.8 about four in five link, at 0.85 nineteen in twenty, at 0.9 nearly all; of pairs at 0.7 one in ten. component_id is the
+    smallest doc_id that links reach. Null and empty texts are one group. Repeated rows appear again; a null doc_id
+    stays null and names no component unless all are null; an empty table gives no rows; other columns are ignored.
+    """
+    columns = [f"f{k}" for k in range(LANES)]
+    keyed = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = wide_fingerprints(batch.column("text"), words_each).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(fps[:, k]) for k in range(LANES))], names=["doc_id", "text_key", *columns])
+
+    schema = keyed.select("doc_id", "text_key").schema
+    for c in columns:
+        schema = schema.add(c, T.LongType())
+    own = cut(keyed.mapInArrow(each, schema).withColumn("node", F.xxhash64(*columns)))
+    distinct = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in columns]))
+    named = _components(distinct, links(distinct, radius_of(similarity), LEAF, tuple(columns), BANDS, 1))
+    return own.join(named, "node").select("doc_id", "text_key", "component_id")
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their group of near_copies(): those with its smallest doc_id.
 
     Rows that repeat a doc_id and its text count once. Rows without a doc_id stay only if their whole component has none.
     """
-    named = near_duplicates(docs, radius=radius)
+    named = near_copies(docs, words_each, similarity)
     kept = cut(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n")))
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]) if kept.where("n > 1").limit(1).count() else rows

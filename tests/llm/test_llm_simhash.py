@@ -54,7 +54,7 @@ def test_links_join_the_same_groups_as_all_pairs(spark, leaf):
     flips = [np.int64(b) ^ np.int64(1 << int(rng.integers(0, 62))) ^ np.int64(1 << int(rng.integers(0, 62))) for b in base[:80]]
     chain = [np.int64((1 << k) - 1) for k in range(40)]  # each within a bit of the next
     fps = np.unique(np.array([*base, *flips, *chain], np.int64))
-    found = S.links(spark.createDataFrame(pd.DataFrame({"fp": fps})), leaf=leaf).toPandas()
+    found = S.links(spark.createDataFrame(pd.DataFrame({"node": fps, "fp": fps})), leaf=leaf).toPandas()
     mask = (1 << 64) - 1
     assert all(((int(a) ^ int(b)) & mask).bit_count() <= 3 for a, b in zip(found.a, found.b))
     want = groups([int(f) & mask for f in fps], 3)
@@ -73,7 +73,7 @@ def test_links_join_the_same_groups_as_all_pairs(spark, leaf):
 
 def test_a_clique_leaves_as_a_forest():
     fps = np.array([1 << k for k in range(60)], np.uint64)  # all pairs differ in two bits
-    a, b = S.leaf_edges(fps, np.ones(60, bool), 3)
+    a, b = S.leaf_edges(fps[:, None], np.ones(60, bool), 3)
     assert len(a) == 59
 
 
@@ -87,7 +87,43 @@ def test_odd_rows(odd):
 
 
 def test_empty_table(odd):
-    assert S.near_duplicates(odd.limit(0)).count() == 0
+    assert S.near_duplicates(odd.limit(0)).count() == 0 and S.near_copies(odd.limit(0)).count() == 0 and S.one_of_each(odd.limit(0)).count() == 0
+
+
+def shingles(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_wide_fingerprints_follow_the_set_of_shingles():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    body = " ".join(f"w{k}" for k in rng.integers(0, 500, 400))
+    texts = [None, "", "A b", "a  B", body, body.upper(), body + " " + body, "x " * 200_000, "x x x x x", "a b c d"]
+    got = S.wide_fingerprints(pa.array(texts), 5)
+    assert not got[:2].any() and (got[2] == got[3]).all() and (got[4] == got[5]).all() and (got[7] == got[8]).all() and (got[2] != got[9]).any()
+    each = [S.wide_fingerprints(pa.array([t]), 5)[0] for t in texts]
+    assert (np.array(each) == got).all()
+    assert int(np.bitwise_count(got[4] ^ got[6]).sum()) < 30 < int(np.bitwise_count(got[4] ^ got[9]).sum())
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        texts.append(" ".join(words))
+        for share in (0.005, 0.015, 0.025, 0.12):
+            texts.append(" ".join("new" + w if rng.random() < share else w for w in words))
+    sets = [shingles(t) for t in texts]
+    got = S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    near, far = [], []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            j_of = len(a & sets[j]) / len(a | sets[j])
+            (near if j_of >= 0.8 else far if j_of < 0.6 else []).append(got[i] == got[j])
+    assert len(near) > 100 and np.mean(near) >= 0.93 and np.mean(far) < 0.02
 
 
 def test_components(spark):
