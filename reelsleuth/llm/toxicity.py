@@ -16,14 +16,15 @@ from .common import cut
 
 #: Labelled rows to learn from, at most: toxic and clean ones.
 LEARN_TOXIC, LEARN_CLEAN = 4000, 8000
-#: A pattern is kept if its odds in toxic against clean rows have this logarithm at least; and so many patterns at most.
-LEAST_LOG_ODDS, PATTERNS = 3.4, 5000
-AFFIXES = (4, 5, 6)
+#: A pattern is kept that occurs in so many toxic rows at least and whose log odds, less their deviation, come to so much.
+LEAST_ROWS, LEAST_ODDS = 3, 1.2
+AFFIXES = (4, 5, 6, 7)
 
 # Words that shift the sense of a clause, in English, German, French and Spanish.
 NEGATION = frozenset("not never no don't isn't aren't nicht kein keine keinen niemals ne pas jamais aucun nunca jamás ningún".split())
 REPORTED = frozenset("said says wrote quoted quote called calls reported allegedly sagte sagt schrieb zitierte angeblich disait écrit cité prétendument dijo escribió citó supuestamente".split())
 TARGET = frozenset("you your you're u ya du dich dir dein deine ihr euch tu te toi ton vous votre tú tu usted ustedes vosotros".split())
+INTENT = frozenset("will shall going gonna i'll we'll werde werden wird vais va allons voy vamos va".split())
 THREAT = frozenset("kill murder destroy hurt shoot stab strangle umbringen töten erschießen erstechen vernichten tuer assassiner égorger frapper matar asesinar golpear apuñalar".split())
 
 CLAUSE = re.compile(r"[^.!?;:,\n]+")
@@ -64,22 +65,32 @@ def compose(*machines: Transducer) -> Transducer:
     return Transducer(arcs)
 
 
+def insults(weights: dict[str, float]) -> Transducer:
+    """Words to I, each pattern's weight aside; the others to their class or to O."""
+    classes = [("N", NEGATION), ("R", REPORTED), ("T", TARGET), ("H", THREAT), ("M", INTENT)]
+    return Transducer({(0, w): (0, c) for c, words in classes for w in words} | {(0, w): (0, "I") for w in weights})
+
+
 def grammar() -> Transducer:
-    """Insults (I) and threats (H), marked by what precedes them in their clause.
+    """Insults (I) and threats (H, and S after words of intent), marked by what precedes them in their clause.
 
-    Negation holds for three words, reported speech to the clause's end, a target to the clause's end. An insult
-    leaves as I, In (negated), Ir (reported) or It (aimed at someone), a threat as H, Hn, Hr or Ht.
+    Intent and negation hold for three words, reported speech and a target to the clause's end. An insult leaves as I, In
+    (negated), Ir (reported) or It (aimed at someone), a threat as H, Hn, Hr, Ht or S, Sn, Sr, St.
     """
     reach = 3
-    negated = {(k, "N"): (reach, "N") for k in range(reach + 1)}
-    negated |= {(k, s): (k - 1, f"{s}n") for k in range(1, reach + 1) for s in "IH"}
     fade = {k: k - 1 for k in range(1, reach + 1)}
-    reported = {(k, "R"): (1, "R") for k in (0, 1)} | {(1, s): (1, f"{s[0]}r") for s in ("I", "H", "In", "Hn")}
-    aimed = {(k, "T"): (1, "T") for k in (0, 1)} | {(1, s): (1, f"{s}t") for s in "IH"}
-    return compose(Transducer(negated, fade), Transducer(reported), Transducer(aimed))
+    threat = {(k, "M"): (reach, "M") for k in range(reach + 1)} | {(k, "H"): (k - 1, "S") for k in range(1, reach + 1)}
+    negated = {(k, "N"): (reach, "N") for k in range(reach + 1)}
+    negated |= {(k, s): (k - 1, f"{s}n") for k in range(1, reach + 1) for s in "IHS"}
+    reported = {(k, "R"): (1, "R") for k in (0, 1)} | {(1, s): (1, f"{s[0]}r") for s in ("I", "H", "S", "In", "Hn", "Sn")}
+    aimed = {(k, "T"): (1, "T") for k in (0, 1)} | {(1, s): (1, f"{s}t") for s in "IHS"}
+    return compose(Transducer(threat, fade), Transducer(negated, fade), Transducer(reported), Transducer(aimed))
 
 
-OUTPUTS = ("I", "In", "Ir", "It", "H", "Hn", "Hr", "Ht")
+# What an output adds to its clause, times the pattern's weight; a threat's own weight is THREAT_WEIGHT.
+OUTPUTS = {"I": 1.0, "In": 0.3, "Ir": 0.3, "It": 1.3, "H": 0.4, "Hn": 0.1, "Hr": 0.1, "Ht": 1.0, "S": 0.8, "Sn": 0.2, "Sr": 0.2, "St": 1.6}
+THREAT_WEIGHT = 2.0
+FEATURES = 5
 
 
 def keys_of(word: str) -> list[str]:
@@ -89,67 +100,85 @@ def keys_of(word: str) -> list[str]:
 
 
 class Scorer:
-    """Patterns and weights. score() reads whole texts; a word's weight is looked up once and kept."""
+    """Patterns and weights. score() reads whole texts, clause by clause."""
 
     def __init__(self, patterns: dict[str, float], weights: list[float], bias: float) -> None:
         self.patterns, self.weights, self.bias = patterns, np.array(weights), bias
 
     def prepare(self) -> None:
-        self.machine, self.known = grammar().arcs, {}
+        self.machine, self.classes, self.known = grammar().arcs, insults({}).arcs, {}
 
-    def weight(self, word: str) -> float:
+    def kind(self, word: str) -> tuple[str, float]:
+        """Class and weight of a word, of its patterns the heaviest; what was looked up is kept, up to a bound."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
-            found = self.known[word] = max((self.patterns[k] for k in keys_of(word) if k in self.patterns), default=0.0)
+            weight = max((self.patterns[k] for k in keys_of(word) if k in self.patterns), default=0.0)
+            symbol = "I" if weight else self.classes.get((0, word), (0, "O"))[1]
+            found = self.known[word] = symbol, weight or (THREAT_WEIGHT if symbol == "H" else 0.0)
         return found
 
-    def features(self, text: str | None) -> np.ndarray:
-        """What the grammar's outputs sum to, log-damped."""
-        out = np.zeros(len(OUTPUTS))
-        lower = (text or "").lower()
-        if not any(self.weight(w) or w in THREAT for w in set(WORD.findall(lower))):
-            return out
-        for clause in CLAUSE.finditer(lower):
+    def clauses(self, text: str | None) -> list[float]:
+        """The scores of the clauses that hold an insult or a threat: what the grammar's outputs sum to in each."""
+        out = []
+        for clause in CLAUSE.finditer((text or "").lower()):
             said = clause.group()
-            words = WORD.findall(said)
-            weights = [self.weight(w) for w in words]
-            if not any(weights) and THREAT.isdisjoint(words):
+            kinds = [self.kind(w) for w in WORD.findall(said)]
+            if not any(x for _, x in kinds):
                 continue
-            state = (0, 0, 0)
+            state = (0, 0, 0, 0)
             if len(QUOTE.findall(said)) > 1:
                 state, _ = self.machine[state, "R"]
-            for word, weight in zip(words, weights):
-                kind = "I" if weight else "H" if word in THREAT else "N" if word in NEGATION else "R" if word in REPORTED else "T" if word in TARGET else "O"
-                state, symbol = self.machine[state, kind]
-                if kind in "IH":
-                    out[OUTPUTS.index(symbol)] += weight or 1.0
-        return np.log1p(out)
+            total = 0.0
+            for symbol, weight in kinds:
+                state, marked = self.machine[state, symbol]
+                total += weight * OUTPUTS.get(marked, 0.0)
+            out.append(total)
+        return out
+
+    def features(self, text: str | None) -> np.ndarray:
+        """The worst clause, the four next, all of them damped, how many there are for the text's length, and that length."""
+        found = sorted(self.clauses(text), reverse=True)
+        size = 1 + len(text or "") / 100
+        return np.array([found[0] if found else 0.0, sum(found[1:5]), np.log1p(sum(found)), np.log1p(sum(found) / size), np.log(size)])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.features(text) @ self.weights, -30, 30))))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 60, ridge: float = 2.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps, drawn towards `prior` weights; row weights are even."""
+def pattern_weight(a, b, toxic: int, clean: int):
+    """Log odds of a pattern in `a` of so many toxic and `b` of so many clean rows, less their deviation."""
+    return np.log((a + 0.5) / (toxic + 1)) - np.log((b + 1) / (clean + 1)) - np.sqrt(1 / (a + 0.5) + 1 / (b + 1))
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps, each halved until it gains, drawn towards `prior` weights; row weights are even."""
     a = np.column_stack((x, np.ones(len(x))))
     w = np.append(prior, -3.0)
     pull = np.append(np.full(x.shape[1], ridge), 1e-3)
     centre = w.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (pull * (w - centre) ** 2).sum())
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (p - y) + pull * (w - centre)
         hess = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(pull)
         step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if now - then < 1e-9:
             break
+        w, now = w - step, then
     return w[:-1], float(w[-1])
 
 
-#: Weights before any label is seen: aimed insults and threats count most, negated and reported ones little.
-PRIOR = np.array([1.2, 0.3, 0.4, 1.5, 0.3, 0.0, 0.1, 1.0])
+#: Weights of features() before any label is seen.
+PRIOR = np.array([0.4, 0.2, 0.3, 0.3, -0.1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
@@ -157,7 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     At most LEARN_TOXIC and LEARN_CLEAN rows are drawn by a hash of doc_id. Of rows that share the least hash
     of their word triples (near copies), one counts. Patterns are words and their starts and ends, weighed by
-    the log odds of their rows. Without toxic or clean rows no pattern is kept.
+    pattern_weight(); weak ones stay, and the weights of clauses decide. Those are fitted on features that each half of the rows gets
+    from the other half's patterns, so that a chance pattern doesn't vouch for its own rows. Without toxic or clean rows no pattern is kept.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -179,24 +209,34 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"toxic": batch["toxic"], "least": least, "text": batch["text"], "keys": keys})
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
-    seen = cut(own.select("toxic", "text").mapInPandas(read, "toxic int, least long, text string, keys array<string>").dropDuplicates(["least", "toxic"]))
-    n = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    if not toxic or not clean:
+    seen = own.select("toxic", "text").mapInPandas(read, "toxic int, least long, text string, keys array<string>").dropDuplicates(["least", "toxic"])
+    seen = cut(seen.withColumn("half", F.pmod(F.xxhash64("least"), F.lit(2)).cast("int")))
+    n = {(r["toxic"], r["half"]): r["n"] for r in seen.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = (np.array([n.get((t, h), 0) for h in (0, 1)]) for t in (1, 0))
+    if not toxic.sum() or not clean.sum():
         return Scorer({}, list(PRIOR), -3.0)
-    counts = seen.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 2.0) / (clean + 1))
-    kept = counts.where("a >= 5").withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc("odds"), "key").limit(PATTERNS).collect()
-    scorer = Scorer({r["key"]: r["odds"] for r in kept}, list(PRIOR), -3.0)
+    count = lambda t, h: F.sum(((F.col("toxic") == t) & (F.col("half") == h)).cast("int"))
+    counts = seen.select("toxic", "half", F.explode("keys").alias("key")).groupBy("key").agg(*[count(t, h).alias(f"{'ba'[t]}{h}") for t in (0, 1) for h in (0, 1)])
+    # No more than the words of LEARN_TOXIC rows, and those of three rows only.
+    few = counts.where((F.col("a0") + F.col("a1") >= LEAST_ROWS) & (F.col("b0") + F.col("b1") <= F.lit(float(clean.sum() / toxic.sum())) * (F.col("a0") + F.col("a1")))).orderBy("key").toPandas()
+
+    def patterns(halves: list[int]) -> dict[str, float]:
+        a, b = (few[[f"{x}{h}" for h in halves]].sum(axis=1).to_numpy(float) for x in "ab")
+        weight = pattern_weight(a, b, int(toxic[halves].sum()), int(clean[halves].sum()))
+        kept = (a >= LEAST_ROWS) & (weight >= LEAST_ODDS)
+        return dict(zip(few["key"][kept], weight[kept].tolist()))
+
+    scorers = [Scorer(patterns([1 - h]), list(PRIOR), -3.0) for h in (0, 1)]
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer.prepare()
+        for scorer in scorers:
+            scorer.prepare()
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [scorer.features(t).tolist() for t in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": [scorers[h].features(t).tolist() for h, t in zip(batch["half"], batch["text"])]})
 
-    rows = seen.select("toxic", "text").mapInPandas(weigh, "toxic int, x array<double>").collect()
+    rows = seen.select("toxic", "half", "text").mapInPandas(weigh, "toxic int, x array<double>").orderBy("toxic", "x").collect()
     weights, bias = fit_weights(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float), PRIOR)
-    return Scorer(scorer.patterns, list(weights), bias)
+    return Scorer(patterns([0, 1]), list(weights), bias)
 
 
 def held_out(doc_id):
@@ -216,6 +256,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         scorer.prepare()
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype=float)
+        scorer.known.clear()
 
     apply = F.pandas_udf("double")(score)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), apply(F.col(text_col)).alias("score"))

@@ -209,10 +209,26 @@ def test_grammar_marks_scope():
     machine = T.grammar().arcs
     run = lambda text: [s for s in _run(machine, text)]
     assert run("I") == ["I"] and run("NI") == ["N", "In"] and run("NOOOI")[-1] == "I" and run("RI")[-1] == "Ir" and run("TOI")[-1] == "It" and run("TNI")[-1] == "In" and run("RNH")[-1] == "Hr"
+    assert run("MH")[-1] == "S" and run("MOOOH")[-1] == "H" and run("TMH")[-1] == "St" and run("MNH")[-1] == "Sn" and run("RMH")[-1] == "Sr"
+
+
+def test_clauses_are_scored_by_themselves():
+    scorer = T.Scorer({"zorgl-": 2.0}, [1, 0, 0, 0, 0], 0.0)
+    scorer.prepare()
+    assert scorer.clauses("you zorglab, not a zorglab. He said zorglab! nothing here; zorglab") == pytest.approx([2.6, 0.6, 0.6, 2.0])
+    assert scorer.clauses("I will kill you. You, I will kill; they kill") == pytest.approx([1.6, 1.6, 0.8]) and scorer.clauses("you: I kill") == pytest.approx([0.8])
+    assert scorer.clauses(None) == [] and scorer.features("zorglab")[0] == 2 and scorer.features("")[0] == 0
+    assert T.OUTPUTS["St"] > T.OUTPUTS["S"] > T.OUTPUTS["Sn"]
+
+
+def test_ties_at_the_threshold_count_as_toxic(spark, monkeypatch):
+    monkeypatch.setattr(T, "learn", lambda *_: T.Scorer({}, [0.0] * T.FEATURES, float(np.log(0.7 / 0.3))))
+    got = T.score_toxicity(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), None).collect()
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got) and len({r["score"] for r in got}) == 1
 
 
 def _run(machine, text):
-    state = (0, 0, 0)
+    state = (0, 0, 0, 0)
     for symbol in text:
         state, out = machine[state, symbol]
         yield out
