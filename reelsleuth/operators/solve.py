@@ -193,7 +193,10 @@ def assign_groups(pairs: DataFrame, by: str, row: str, col: str, cost: str) -> D
 
 
 def place_sets(pairs: DataFrame, by: str, disc: str, title: str, episode: str, cost: str) -> DataFrame:
-    """(by, disc, start, mean_cost, runner_up): each set's discs along its episodes, from (by, disc, title, episode, cost)."""
+    """(by, disc, start, mean_cost, runner_up, reason): each set's discs along its episodes, from (by, disc, title, episode, cost).
+
+    A set that can't be placed has one row a disc, without a start, that says why.
+    """
     def one(got: pd.DataFrame) -> pd.DataFrame:
         got = got.assign(_t=list(zip(got[disc], got[title])))
         matrix, rows, cols = _matrix(got, "_t", episode, cost)
@@ -201,18 +204,20 @@ def place_sets(pairs: DataFrame, by: str, disc: str, title: str, episode: str, c
         lengths = [sum(r[0] == d for r in rows) for d in discs]
         found = place_set(lengths, matrix)
         if found is None:
-            return pd.DataFrame(columns=[by, disc, "start", "mean_cost", "runner_up"])
+            why = "too many discs" if len(discs) > MOST_DISCS else "too many episodes" if len(cols) > MOST_EPISODES else "fewer episodes than titles" if len(rows) > len(cols) else "no pairing is allowed"
+            return pd.DataFrame({by: got[by].iloc[0], disc: discs, "start": None, "mean_cost": None, "runner_up": None, "reason": why})
         starts, mean, runner = found
-        return pd.DataFrame({by: got[by].iloc[0], disc: discs, "start": [cols[s] for s in starts], "mean_cost": mean, "runner_up": runner})
+        return pd.DataFrame({by: got[by].iloc[0], disc: discs, "start": [cols[s] for s in starts], "mean_cost": mean, "runner_up": runner, "reason": None})
 
     types = dict(pairs.dtypes)
-    return pairs.select(by, disc, title, episode, cost).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {disc} {types[disc]}, start {types[episode]}, mean_cost double, runner_up double")
+    return pairs.select(by, disc, title, episode, cost).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {disc} {types[disc]}, start {types[episode]}, mean_cost double, runner_up double, reason string")
 
 
-def order_groups(pairs: DataFrame, by: str, title: str, episode: str, fit: str, minutes: str, listed: str) -> DataFrame:
+def order_groups(pairs: DataFrame, by: str, title: str, episode: str, fit: str, minutes: str, listed: str, card: str | None = None, story: str | None = None) -> DataFrame:
     """(by, title, episode, reason, doubtful): titles of each window in order, from (by, title, episode, fit, minutes, listed).
 
     A null fit is a title without dialogue, a null `listed` an unknown runtime. Windows with as many episodes as titles count.
+    `card` is the episode that a title's captions name, of those in the window; `story` names the parts of one story.
     """
     def one(got: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(got[title].unique()), sorted(got[episode].unique())
@@ -223,15 +228,19 @@ def order_groups(pairs: DataFrame, by: str, title: str, episode: str, fit: str,
         grid, mins, known = np.full((len(rows), len(rows)), np.nan), np.zeros(len(rows)), np.full(len(rows), np.nan)
         grid[at], mins[at[0]], known[at[1]] = got[fit].to_numpy(float), got[minutes].to_numpy(float), got[listed].to_numpy(float)
         spoken = ~np.isnan(grid).any(axis=1)
-        nothing = [None] * len(rows)
-        found = order_titles(np.nan_to_num(grid), spoken, mins, known, nothing, nothing)
+        told, parts = [None] * len(rows), [None] * len(rows)
+        for i, j, name, part in zip(*at, got[card] if card else told * len(rows), got[story] if story else parts * len(rows)):
+            told[i] = cols.index(name) if not pd.isna(name) and name in cols else told[i]
+            parts[j] = part if not pd.isna(part) else parts[j]
+        found = order_titles(np.nan_to_num(grid), spoken, mins, known, told, parts)
         if found is None:
             return empty
         order, reasons, doubtful = found
         return pd.DataFrame({by: got[by].iloc[0], title: rows, episode: [cols[e] for e in order], "reason": reasons, "doubtful": [t in doubtful for t in range(len(rows))]})
 
     types = dict(pairs.dtypes)
-    return pairs.select(by, title, episode, fit, minutes, listed).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {title} {types[title]}, {episode} {types[episode]}, reason string, doubtful boolean")
+    wanted = [by, title, episode, fit, minutes, listed, *[x for x in (card, story) if x]]
+    return pairs.select(*wanted).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {title} {types[title]}, {episode} {types[episode]}, reason string, doubtful boolean")
 
 
 def special_groups(pairs: DataFrame, by: str, title: str, special: str, score: str) -> DataFrame:

@@ -39,9 +39,9 @@ def unfiled(spark, sf_dir):
     return E.unfiled(rows, rows.where("o_orderstatus = 'F'"), ["season", "episode"], "season", titles).select("season", "episode")
 
 
-@query("O10_title_order", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 3 <> 0 THEN p_size ELSE 4294967295 END, p_name, p_partkey) AS place FROM part WHERE p_brand = 'Brand#1'")
+@query("O10_title_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 3 <> 0 THEN p_size ELSE 4294967295 END, p_name, p_partkey) AS place FROM part")
 def title_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_brand = 'Brand#1'").withColumn("ix", F.when(c("p_size") % 3 != 0, c("p_size")))
+    rows = table(spark, sf_dir, "part").withColumn("ix", F.when(c("p_size") % 3 != 0, c("p_size")))
     w = Window.partitionBy("p_brand").orderBy(*E.title_order(c("ix"), c("p_name")), "p_partkey")
     return rows.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
 

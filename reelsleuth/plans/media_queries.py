@@ -148,12 +148,12 @@ def film_candidates(films, minutes: float, most: int = 5):
     return chosen.select("query", "film", "fitting", F.when((c("fitting") == 1) & (c("r") == 1), 2).otherwise(1).alias("confidence"))
 
 
-_PAIRS = "pairs AS (SELECT s_nationkey AS grp, s_suppkey AS title, e AS episode, (s_suppkey * 7919 + e * 104729) % 1000 / 1000.0 AS cost FROM supplier, range(3) AS r(e) QUALIFY dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 3)"
+# All suppliers as titles, in groups of three neighbouring keys, each with three episodes.
+_PAIRS = "pairs AS (SELECT s_suppkey // 3 AS grp, s_suppkey AS title, e AS episode, (s_suppkey * 7919 + e * 104729) % 1000 / 1000.0 AS cost FROM supplier, range(3) AS r(e))"
 
 
 def pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("grp"), c("s_suppkey").alias("title"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("title"))).where("r <= 3").drop("r")
+    rows = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 3").alias("grp"), c("s_suppkey").alias("title"))
     rows = rows.withColumn("episode", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return rows.withColumn("cost", (c("title") * 7919 + c("episode") * 104729) % 1000 / 1000)
 
@@ -170,27 +170,50 @@ def assignment(spark, sf_dir):
     return found.groupBy("grp").agg(F.count(F.lit(1)).alias("titles"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-@query("O02_set_placement")
+_SETS = (
+    "sets AS (SELECT s_suppkey // 4 AS grp, (s_suppkey % 4) // 2 AS disc, s_suppkey AS title, e AS episode, (s_suppkey * 7919 + e * 104729) % 1000 / 1000.0 AS cost FROM supplier, range(12) AS r(e)), "
+    "sizes AS (SELECT grp, disc, count(DISTINCT title) AS k FROM sets GROUP BY ALL), "
+    # The best pairing of a disc's one or two titles with the episodes from s on.
+    "windows AS (SELECT grp, disc, k, a.episode AS s, min(CASE WHEN k = 1 THEN a.cost ELSE a.cost + b.cost END) AS w FROM sizes JOIN sets a USING (grp, disc) LEFT JOIN sets b ON a.grp = b.grp AND a.disc = b.disc AND a.title <> b.title AND b.episode = a.episode + 1 WHERE k = 1 OR b.cost IS NOT NULL GROUP BY ALL "
+    "UNION ALL SELECT grp, disc, k, b.episode, a.cost + b.cost FROM sizes JOIN sets a USING (grp, disc) JOIN sets b ON a.grp = b.grp AND a.disc = b.disc AND a.title < b.title AND b.episode = a.episode - 1 WHERE k = 2), "
+    "best AS (SELECT grp, disc, k, s, min(w) AS w FROM windows GROUP BY ALL), "
+    "plans AS (SELECT x.grp, x.s AS s0, y.s AS s1, x.w + coalesce(y.w + 0.05 * (y.s - x.s - x.k), 0) AS total, x.k + coalesce(y.k, 0) AS n FROM best x LEFT JOIN best y ON x.grp = y.grp AND y.disc = 1 WHERE x.disc = 0 AND (y.s IS NULL OR y.s >= x.s + x.k)), "
+    "ranked AS (SELECT *, row_number() OVER w AS r, lead(total) OVER w AS rival FROM plans WINDOW w AS (PARTITION BY grp ORDER BY total, s0, s1))"
+)
+
+
+@query("O02_set_placement", f"WITH {_SETS} SELECT grp, disc, CASE disc WHEN 0 THEN s0 ELSE s1 END AS start, round(total / n, 6)::DOUBLE AS mean_cost, round(rival / n, 6)::DOUBLE AS runner_up, NULL::VARCHAR AS reason FROM ranked, range(2) AS d(disc) WHERE r = 1 AND (disc = 0 OR s1 IS NOT NULL)")
 def set_placement(spark, sf_dir):
-    """Nations as sets, suppliers by hundreds of balance as discs, 40 episodes each. Tested against enumeration."""
-    rows = table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("grp"), (c("s_suppkey") % 3).alias("disc"), c("s_suppkey").alias("title"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("title"))).where("r <= 12").drop("r")
-    rows = rows.withColumn("episode", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
+    """All suppliers as titles, in sets of two discs with two titles, along twelve episodes."""
+    rows = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 4").alias("grp"), F.expr("(s_suppkey % 4) div 2").alias("disc"), c("s_suppkey").alias("title"))
+    rows = rows.withColumn("episode", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
     rows = rows.withColumn("cost", (c("title") * 7919 + c("episode") * 104729) % 1000 / 1000)
-    return V.place_sets(rows, "grp", "disc", "title", "episode", "cost")
+    found = V.place_sets(rows, "grp", "disc", "title", "episode", "cost")
+    return found.withColumn("mean_cost", F.round("mean_cost", 6)).withColumn("runner_up", F.round("runner_up", 6))
 
 
 @query("O05_ordered_titles")
 def ordered_titles(spark, sf_dir):
-    """Tested against hand-made windows."""
+    """Tested against enumeration of all orders."""
     rows = pairs(spark, sf_dir).withColumn("fit", F.when(c("title") % 4 != 0, (c("cost") - 0.5) * 6)).withColumn("minutes", (c("title") % 30).cast("double")).withColumn("listed", (c("episode") * 10).cast("double"))
-    return V.order_groups(rows, "grp", "title", "episode", "fit", "minutes", "listed")
+    rows = rows.withColumn("card", F.when(c("title") % 7 == 1, c("title") % 3)).withColumn("story", F.when((c("episode") < 2) & (c("grp") % 2 == 0), "Quest"))
+    return V.order_groups(rows, "grp", "title", "episode", "fit", "minutes", "listed", "card", "story")
 
 
-@query("O07_specials")
+@query(
+    "O07_specials",
+    # Of all ways to give titles a special of their own or none, the least; then margins.
+    f"WITH {_PAIRS}, s AS (SELECT grp, title, episode, cost * 5 AS score FROM pairs WHERE (title + episode) % 5 <> 0), o AS (SELECT grp, title, episode, score FROM s UNION ALL SELECT DISTINCT grp, title, NULL, 0 FROM pairs), "
+    "n AS (SELECT grp, title, row_number() OVER (PARTITION BY grp ORDER BY title) AS i FROM (SELECT DISTINCT grp, title FROM pairs)), t AS (SELECT o.*, i FROM o JOIN n USING (grp, title)), "
+    "ways AS (SELECT a.grp, a.episode AS e1, b.episode AS e2, c.episode AS e3, a.score + coalesce(b.score, 0) + coalesce(c.score, 0) AS total FROM t a LEFT JOIN t b ON b.grp = a.grp AND b.i = 2 LEFT JOIN t c ON c.grp = a.grp AND c.i = 3 WHERE a.i = 1 AND coalesce(a.episode <> b.episode, true) AND coalesce(a.episode <> c.episode, true) AND coalesce(b.episode <> c.episode, true)), "
+    "won AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY grp ORDER BY total DESC) = 1), "
+    "given AS (SELECT grp, title, CASE i WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END AS special FROM won JOIN n USING (grp)), "
+    "m AS (SELECT g.grp, g.title, g.special, any_value(s.score) - coalesce(max(r.score), 0) AS margin FROM given g JOIN s ON s.title = g.title AND s.episode = g.special LEFT JOIN s r ON r.title = g.title AND r.episode <> g.special GROUP BY ALL) "
+    "SELECT grp, title, special, round(margin, 6)::DOUBLE AS margin, margin >= 1.5 AS accepted FROM m",
+)
 def specials(spark, sf_dir):
     rows = pairs(spark, sf_dir).where("(title + episode) % 5 <> 0").withColumn("score", c("cost") * 5)
-    return V.special_groups(rows, "grp", "title", "episode", "score")
+    return V.special_groups(rows, "grp", "title", "episode", "score").withColumnRenamed("episode", "special").withColumn("margin", F.round("margin", 6))
 
 
 @query("O20_greedy_unique", f"WITH RECURSIVE {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost DESC, title, episode) AS r FROM pairs), g AS (SELECT grp, r, [title] AS ts, [episode] AS es, title, episode, cost, true AS taken FROM o WHERE r = 1 UNION ALL SELECT o.grp, o.r, CASE WHEN list_contains(ts, o.title) OR list_contains(es, o.episode) THEN ts ELSE list_append(ts, o.title) END, CASE WHEN list_contains(ts, o.title) OR list_contains(es, o.episode) THEN es ELSE list_append(es, o.episode) END, o.title, o.episode, o.cost, NOT (list_contains(ts, o.title) OR list_contains(es, o.episode)) FROM g JOIN o ON o.grp = g.grp AND o.r = g.r + 1) SELECT grp, title, episode, cost::DOUBLE AS cost FROM g WHERE taken")
