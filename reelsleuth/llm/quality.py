@@ -36,11 +36,13 @@ PRIOR_TOKENS = 10
 BROADCAST_IDS = 500_000
 #: Bytes of trusted text of one shard, about; shards are a power of two.
 SHARD_BYTES = 12_000_000
-#: Symbols that are counted at once, and of a longer document's pieces.
-BLOCK = 1 << 20
-#: Bits of a fold's filter at most (16 MB): each pair of trusted text sets one. Pairs of texts whose bit isn't set don't travel; a
-#: full filter lets all of them through, so that its size bears on traffic alone.
+#: Symbols that are counted at once, and of a longer document's pieces; and bytes of the texts that are read at once, a longer one apart.
+BLOCK, SLICE_BYTES = 1 << 20, 12_000_000
+#: Bits of a fold's filter at most (16 MB): each word and pair of trusted text sets one. Words and pairs of texts whose bit isn't set
+#: don't travel; a full filter lets all of them through, so that its size bears on traffic alone.
 FILTER_BITS = 27
+#: What stands for a word in the filter, as if it came after it.
+ALONE = np.uint64(0xFFFFFFFF)
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -107,6 +109,16 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some SLICE_BYTES of text at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _pairs(syms: np.ndarray) -> np.ndarray:
     """Each symbol with the one after it; the last of a text with 0, which begins the next."""
     return syms.astype(np.uint64) << np.uint64(32) | np.append(syms[1:], np.uint32(0))
@@ -184,21 +196,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Model:
-    """Counts of trusted text by shard, and what joins need to know of all of them. Kept in the shared folder."""
+    """Counts of trusted text by shard, files of the shared folder, and what joins need to know of all of them."""
 
-    def __init__(self, spark, parts: DataFrame | None, folder: str, shard_bits: int, filter_bits: int, stats: list) -> None:
-        self.spark, self.parts, self.folder, self.shard_bits, self.filter_bits, self.stats = spark, parts, folder, shard_bits, filter_bits, stats
+    def __init__(self, parts: DataFrame, tables: frozenset, folder: str, shard_bits: int, filter_bits: int, stats: list) -> None:
+        self.parts, self.tables, self.folder, self.shard_bits, self.filter_bits, self.stats = parts, tables, folder, shard_bits, filter_bits, stats
 
     def losses(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """(key, tokens, loss) of each different text that has a word: key is its xxhash64, tokens its words and its end, loss the
         sum of their negative log chances."""
-        shard_bits, folder, filter_bits, stats = self.shard_bits, self.folder, self.filter_bits, self.stats
+        shard_bits, folder, filter_bits, stats, tables = self.shard_bits, self.folder, self.filter_bits, self.stats, self.tables
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            seen, part, number = _filter(folder, shard_bits, filter_bits), TaskContext.get().partitionId(), 0
-            for batch in batches:
+            bits, part, number = _filter(folder, shard_bits, filter_bits), TaskContext.get().partitionId(), 0
+
+            def known(f: int, keys: np.ndarray) -> np.ndarray:
+                spot = _place(keys, shard_bits, filter_bits)
+                return bits[f][(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+            for batch in (x for b in batches for x in _slices(b)):
                 syms, sizes = symbols(batch.column("text"))
                 after = np.append(syms[1:], np.uint32(0))
                 # Pieces of BLOCK symbols at most; a block is some pieces of one fold.
@@ -213,18 +230,18 @@ class Model:
                     names = (np.cumsum(size[own]) - size[own]) // BLOCK + np.arange(len(own)) // 60_000 * len(own)
                     for at in np.split(own, np.flatnonzero(np.diff(names)) + 1) if len(own) else []:
                         block, number = part << 32 | number, number + 1
-                        place = np.arange(int(size[at].sum())) - np.repeat(np.cumsum(size[at]) - size[at], size[at]) + np.repeat(start[at], size[at])
-                        who = np.repeat(np.arange(len(at), dtype=np.uint64), size[at])
-                        words = syms[place].astype(np.uint64)
+                        spans = [slice(a, a + n) for a, n in zip(start[at].tolist(), size[at].tolist())]
+                        who = np.repeat(np.arange(len(at), dtype=np.uint16), size[at])
+                        words = np.concatenate([syms[x] for x in spans]).astype(np.uint64) << np.uint64(32)
                         yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), pack(size[at].astype(np.int32)), None)])
-                        one, n = _counted(np.sort(words << np.uint64(16) | who))
+                        hit = known(f, words | ALONE)
+                        one, n = _counted(np.sort(words[hit] >> np.uint64(16) | who[hit]))
                         yield _rows([("words", f, s, block, pack(one[x], True), pack(n[x].astype(np.uint32)), None, None) for s, x in _shards(one, shard_bits, 16)])
-                        pairs = words << np.uint64(32) | after[place]
-                        spot = _place(pairs, shard_bits, filter_bits)
-                        hit = seen[f][(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
-                        pairs, who = pairs[hit], who[hit]
+                        words |= np.concatenate([after[x] for x in spans])
+                        hit = known(f, words)
+                        pairs, who = words[hit], who[hit]
                         order = np.argsort(pairs, kind="stable")
-                        pairs, who = pairs[order], who[order].astype(np.uint16)
+                        pairs, who = pairs[order], who[order]
                         new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (who[1:] != who[:-1])))) if len(pairs) else np.zeros(0, np.int64)
                         n = np.diff(np.append(new, len(pairs))).astype(np.uint32)
                         pairs, who = pairs[new], who[new]
@@ -245,8 +262,12 @@ class Model:
             def chance(n: np.ndarray) -> np.ndarray:
                 return (n - d1[np.minimum(n, 3)]) / types + unseen
 
-            table = [(unpack(a, np.uint64, True), unpack(b, np.uint32)) for a, b in zip(by["table"]["a"], by["table"]["b"])] if "table" in by else []
-            keys, n = table[0] if table else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
+            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            if f"{fold}-{shard}" in tables:
+                raw = fetch(f"{folder}/{fold}-{shard}.counts")
+                size = int.from_bytes(raw[:8], "little")
+                keys, n = unpack(raw[8 : 8 + size], np.uint64, True), unpack(raw[8 + size :], np.uint32)
             heads, at = (keys >> np.uint64(32)).astype(np.uint32), np.zeros(0, np.int64)
             gain = np.zeros(len(keys))
             if len(keys):
@@ -280,7 +301,6 @@ class Model:
             if "pairs" in by:
                 for block, a, b, c in by["pairs"][["block", "a", "b", "c"]].itertuples(index=False):
                     add(block, unpack(b, np.uint16), found(keys, gain, unpack(a, np.uint64, True)) * unpack(c, np.uint32))
-            fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
             for block, parts in shares.items():
                 for who, x in parts:
                     out.append(("share", fold, shard, block, pack(who), pack(x.astype(np.float32)), None, None))
@@ -297,8 +317,7 @@ class Model:
             return pd.DataFrame({"key": keys, "piece": piece, "tokens": size, "loss": -size * np.log(stats[int(fold)][2]) - sums})
 
         asked = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), fold_of(F.col(text_col)).alias("fold")).mapInArrow(ask, _ROW)
-        met = asked if self.parts is None else asked.unionByName(self.parts)
-        answered = met.groupBy("fold", "shard").applyInPandas(answer, _ROW)
+        answered = asked.unionByName(self.parts).groupBy("fold", "shard").applyInPandas(answer, _ROW)
         each = answered.groupBy("block").applyInPandas(total, "key long, piece int, tokens int, loss double")
         # Copies of a text have the same pieces; each counts once.
         once = each.groupBy("key", "piece").agg(F.max("tokens").alias("tokens"), F.max("loss").alias("loss"))
@@ -313,7 +332,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     filter_bits = max(shard_bits + 3, min(FILTER_BITS, int(np.ceil(np.log2(max(8, size))))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b)):
             syms, sizes = symbols(batch.column("text"))
             keys, folds = _pairs(syms), np.repeat(batch.column("fold").to_numpy(), sizes)
             for f in range(FOLDS):
@@ -334,9 +353,13 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         keys, n = keys[at], np.add.reduceat(n, at)
         fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
         bits = np.zeros(max(8, 1 << filter_bits >> shard_bits), np.uint8)
-        bits[(_place(keys, shard_bits, filter_bits) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        heads = keys & ~ALONE
+        for some in (keys, heads[np.concatenate(([True], heads[1:] != heads[:-1]))] | ALONE):
+            bits[(_place(some, shard_bits, filter_bits) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
         name = put(folder, f"{fold}-{shard}", np.packbits(bits, bitorder="little").tobytes())
-        out = [("table", fold, shard, 0, pack(keys, True), pack(np.minimum(n, 2**32 - 1).astype(np.uint32)), name.encode(), _few(n))]
+        rising = pack(keys, True)
+        put(folder, f"{name}.counts", len(rising).to_bytes(8, "little") + rising + pack(np.minimum(n, 2**32 - 1).astype(np.uint32)))
+        out = [("table", fold, shard, 0, None, None, name.encode(), _few(n))]
         words, many = _counted(np.sort(keys & np.uint64(0xFFFFFFFF)))
         out += [("words", fold, s, shard, pack(words[x].astype(np.uint32), True), pack(many[x].astype(np.uint32)), None, None) for s, x in _shards(words, shard_bits, 0)]
         return pd.DataFrame(out, columns=_COLUMNS)
@@ -365,8 +388,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         stats.append((d1, max(1, types), (taken / types if types else 1.0) / (words + 1), discounts(*few.get(f, [0] * 4))))
     names = [bytes(r["c"]).decode() for r in tables.where("kind = 'table'").select("c").collect()]  # a name a shard
     put(folder, "names", " ".join(sorted(names)).encode())
-    parts = tables.where("kind = 'table'").unionByName(named).withColumn("few", F.lit(None).cast("array<long>"))
-    return Model(spark, parts, folder, shard_bits, filter_bits, stats)
+    return Model(named.withColumn("few", F.lit(None).cast("array<long>")), frozenset(names), folder, shard_bits, filter_bits, stats)
 
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
