@@ -78,13 +78,15 @@ def rank_seasons(found: DataFrame, by: str, season: str, mean: str, runner_up: s
 
 
 def select_one(items: DataFrame, needle: str, id_col: str, name_col: str) -> DataFrame:
-    """The item with that id, or whose name holds the text; several or none is an error."""
-    exact = items.where(F.lower(id_col) == needle.lower())
-    found = exact if exact.limit(1).count() else items.where(F.contains(F.lower(F.col(name_col)), F.lit(needle.lower())))
-    names = [r[0] for r in found.select(name_col).limit(6).collect()]
-    if len(names) != 1:
-        raise LookupError(f"{needle!r} names {'nothing' if not names else 'several: ' + ', '.join(map(str, names))}")
-    return found
+    """The item with that id, or whose name holds the text; several or none is an error. One pass gathers six names at most."""
+    text = F.lit(needle.lower())
+    by_id, by_name = F.lower(id_col) == text, F.contains(F.lower(F.col(name_col)), text)
+    hits = items.where(by_id | by_name).select(F.coalesce(by_id, F.lit(False)).alias("exact"), F.col(name_col).alias("name"))
+    seen = hits.groupBy("exact").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last")).collect()  # two rows
+    best = next((r for r in seen if r["exact"]), seen[0] if seen else None)
+    if best is None or best["n"] != 1:
+        raise LookupError(f"{needle!r} names " + ("nothing" if best is None else f"several: {best['n']}, from {best['first']} to {best['last']}"))
+    return items.where(by_id if best["exact"] else by_name)
 
 
 def outcome(verdicts: DataFrame, by: str) -> DataFrame:

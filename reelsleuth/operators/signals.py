@@ -52,21 +52,31 @@ def stems_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def idf(corpus: DataFrame) -> DataFrame:
-    """(stem, df, idf) over (id, stem, …): the smoothed inverse document frequency, 0 at least."""
-    n = corpus.agg(F.countDistinct("id").alias("docs"))
-    df = corpus.groupBy("stem").agg(F.countDistinct("id").alias("df"))
+    """(stem, df, idf) over (id, stem, …), each pair once: the smoothed inverse document frequency, 0 at least."""
+    n = corpus.select("id").distinct().agg(F.count(F.lit(1)).alias("docs"))
+    df = corpus.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(n)).select("stem", "df", F.greatest(F.lit(0.0), F.log((F.col("docs") + 1) / (F.col("df") + 1))).alias("idf"))
 
 
+#: Postings of the references that are broadcast at most, 50 bytes each; more meet the titles by a shuffle.
+POSTINGS = 2_000_000
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """`rows`, broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(POSTINGS + 1).count() <= POSTINGS else rows
+
+
 def weighted_containment(titles: DataFrame, references: DataFrame) -> DataFrame:
     """(title, reference, score): of a reference's stems, weighed by rarity, the share that the title speaks.
 
-    Both are (id, stem, n); pairs without a common stem score 0 and aren't returned.
+    Both are (id, stem, n); pairs without a common stem score 0 and aren't returned. A stem that all references hold pairs its
+    titles with each of them, so that the result has as many rows; few postings are broadcast, and no frequent stem is shuffled then.
     """
     refs = references.join(idf(references), "stem").select(F.col("id").alias("reference"), "stem", "idf")
-    totals = refs.groupBy("reference").agg(F.sum("idf").alias("total"))
-    hits = titles.select(F.col("id").alias("title"), "stem").join(refs, "stem").groupBy("title", "reference").agg(F.sum("idf").alias("hit"))
-    return hits.join(totals, "reference").where("total > 0").select("title", "reference", (F.col("hit") / F.col("total")).alias("score"))
+    totals = refs.groupBy("reference").agg(F.sum("idf").alias("total")).where("total > 0")
+    hits = titles.select(F.col("id").alias("title"), "stem").join(_held(refs), "stem").groupBy("title", "reference").agg(F.sum("idf").alias("hit"))
+    return hits.join(totals, "reference").select("title", "reference", (F.col("hit") / F.col("total")).alias("score"))
 
 
 def distinctive_fit(titles: DataFrame, references: DataFrame) -> DataFrame:
@@ -76,12 +86,12 @@ def distinctive_fit(titles: DataFrame, references: DataFrame) -> DataFrame:
     product of all titles and references is formed.
     """
     refs = references.join(idf(references), "stem").select(F.col("id").alias("reference"), "stem", F.col("idf").alias("ref_idf"))
-    totals = refs.groupBy("reference").agg(F.sum("ref_idf").alias("total"))
+    totals = refs.groupBy("reference").agg(F.sum("ref_idf").alias("total")).where("total > 0")
     own = idf(titles).select("stem", F.col("idf").alias("own_idf"))
     spoken = titles.join(own, "stem").select(F.col("id").alias("title"), "stem", (F.col("own_idf") * F.log1p("n")).alias("weight"))
-    hits = spoken.join(refs, "stem").groupBy("title", "reference").agg(F.sum(F.col("ref_idf") * F.col("weight")).alias("hit"))
-    raw = hits.join(totals, "reference").where("total > 0").select("title", "reference", (F.col("hit") / F.col("total")).alias("raw"))
-    n = references.agg(F.countDistinct("id").alias("n"))
+    hits = spoken.join(_held(refs), "stem").groupBy("title", "reference").agg(F.sum(F.col("ref_idf") * F.col("weight")).alias("hit"))
+    raw = hits.join(totals, "reference").select("title", "reference", (F.col("hit") / F.col("total")).alias("raw"))
+    n = references.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("title")
     rows = raw.join(F.broadcast(n)).withColumn("mean", F.sum("raw").over(w) / F.col("n"))
     square = F.sum((F.col("raw") - F.col("mean")) * (F.col("raw") - F.col("mean"))).over(w) + (F.col("n") - F.count(F.lit(1)).over(w)) * F.col("mean") * F.col("mean")

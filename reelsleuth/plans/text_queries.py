@@ -38,8 +38,8 @@ def duck_idf(name: str, rows: str) -> str:
 
 @query("A01_word_counts", f"SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) GROUP BY ALL")
 def word_counts(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("word"))
-    return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    """Counted within the row: no word is shuffled."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.counted(X.tokens(F.col("text")))).alias("w")).select("doc_id", "w.word", "w.n")
 
 
 @query("U04_token_sets", f"SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS tokens FROM (SELECT doc_id, list_distinct({TOK}) AS t FROM documents)")
@@ -150,7 +150,7 @@ def _titles_and_references(spark, sf_dir):
     """All documents as titles; the first document of each source as references."""
     docs = table(spark, sf_dir, "documents")
     first = docs.groupBy("source").agg(F.min("doc_id").alias("id")).select("id")
-    titles = R.phrase_rows(docs, "doc_id", "text")
+    titles = R.phrase_sets(docs, "doc_id", "text")
     return docs, titles, titles.join(first, "id", "left_semi")
 
 
@@ -183,6 +183,24 @@ def transcript_place(spark, sf_dir):
     return R.place(titles, references).withColumns({"share": F.round("share", 9), "rival_share": F.round("rival_share", 9)})
 
 
+@query(
+    "C79_verdict_text",
+    f"SELECT title, CASE verdict WHEN 'confirmed' THEN 'reference subtitles confirm it: ' || a || '% of its phrases match, against at most ' || b || '% for any other episode checked' WHEN 'contradicted' THEN 'reference subtitles CONTRADICT it: ' || a || '% of its phrases match, but ' || b || '% match another episode' "
+    f"WHEN 'inconclusive' THEN 'reference subtitles are inconclusive: ' || a || '% of its phrases match, ' || b || '% for the closest other episode' ELSE 'no reference subtitle or no dialogue to check' END AS note FROM (SELECT *, round_even(share * 100, 0)::BIGINT AS a, round_even(rival_share * 100, 0)::BIGINT AS b FROM ({_OVER}, q AS (SELECT doc_id AS title, min(doc_id) OVER (PARTITION BY source) AS proposed FROM documents), {_CHECK}))",
+)
+def verdict_text(spark, sf_dir):
+    rows = transcript_verdict(spark, sf_dir)
+    return rows.select("title", R.describe(F.col("verdict"), F.col("share"), F.col("rival_share")).alias("note"))
+
+
+@query("W20_head_bigram", f"SELECT doc_id, list_has_any(list_transform(range(1, least(len(ws), 40)), lambda i: ws[i] || ' ' || ws[i + 1]), ['of the', 'en la', 'und der', 'de la']) AS found FROM (SELECT doc_id, {PH} AS ws FROM documents)")
+def head_bigram(spark, sf_dir):
+    """Whether two words stand together among the first forty."""
+    words = F.slice(X.phrase_words(F.col("text")), 1, 40)
+    pairs = F.transform(F.slice(words, 2, 40), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
+    return table(spark, sf_dir, "documents").select("doc_id", F.arrays_overlap(pairs, F.array(*[F.lit(x) for x in ("of the", "en la", "und der", "de la")])).alias("found"))
+
+
 @query("U01_phrase_union", f"WITH {duck_phrases('p', 'conversations', 'conv_id')} SELECT id AS conv_id, count(*) AS n FROM p GROUP BY id")
 def phrase_union(spark, sf_dir):
     """The union of a conversation's turns, as one set of trigrams."""
