@@ -39,14 +39,17 @@ def find_by(files: DataFrame, roms: DataFrame, key: str, order: list[str], keep:
 def lookup(files: DataFrame, roms: DataFrame, order: list[str], keep: list[str], size: str | None = None, rom_size: str | None = None) -> DataFrame:
     """`files` with matched_on, confidence and the rom's `keep` columns: by SHA-1, else MD5, else CRC-32.
 
-    With `size` and `rom_size`, a match of another size isn't one. Only a digest is exact.
+    With `size` and `rom_size`, a match of another size isn't one. Only a digest is exact. Files without a digest, or found
+    by an earlier one, are spread over all tasks by a key of their own, which no rom has.
     """
     wanted = list(dict.fromkeys([*keep, *([rom_size] if rom_size else [])]))
-    rows = files
+    rows, found = files, F.lit(False)
     for key in KEYS:
         index = digest_index(roms, key, order, wanted)
         index = index.select(F.col(key).alias(f"_{key}"), F.struct(*wanted).alias(f"_by_{key}"))
-        rows = rows.join(index, normal(files[key]) == F.col(f"_{key}"), "left").drop(f"_{key}")
+        rows = rows.withColumn("_asked", F.coalesce(F.when(~found, normal(F.col(key))), F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string"))))
+        rows = rows.join(index, F.col("_asked") == F.col(f"_{key}"), "left").drop(f"_{key}", "_asked")
+        found = found | F.col(f"_by_{key}").isNotNull()
     hit = F.coalesce(*[F.col(f"_by_{k}") for k in KEYS])
     on = F.when(F.col("_by_sha1").isNotNull(), "sha1").when(F.col("_by_md5").isNotNull(), "md5").when(F.col("_by_crc32").isNotNull(), "crc32")
     if size and rom_size:
