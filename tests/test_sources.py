@@ -3,6 +3,8 @@
 import json
 import struct
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from reelsleuth.functions import text as X
@@ -158,3 +160,34 @@ def test_transcripts_agree_across_spelling(spark):
     df = spark.createDataFrame([("I DON'T THINK ZEDD'S DONE WITH US, GUYS.", "I don’t think Zedd's done with us, guys!")], "a string, b string")
     row = df.select(X.phrases(F.col("a")).alias("a"), X.phrases(F.col("b")).alias("b")).first()
     assert sorted(row["a"]) == sorted(row["b"]) and len(row["a"]) == 6
+
+
+def test_references_follow_the_numbering(spark):
+    from reelsleuth.operators import seasons as S
+
+    episodes = spark.createDataFrame([(1, 0, [1]), (1, 1, [2, 3]), (1, 2, [4])], "season int, pos int, numbers array<int>")
+    found = S.mapped_references(episodes, spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["b", "c"]), (1, 3, ["c", "d"])], "season int, number int, phrases array<string>"), "season")
+    got = {r["pos"]: (sorted(r["phrases"]) if r["phrases"] else None, r["halves"]) for r in found.collect()}
+    assert got == {0: (["a"], False), 1: (["b", "c", "d"], True), 2: (None, False)}
+
+
+def test_ties_are_broken_by_cards_then_dialogue_then_disc_number(spark):
+    from reelsleuth.operators import seasons as S
+
+    means = spark.createDataFrame([(d, s, s + 1, 1.0 if d < 9 else float(s), 2) for d in (1, 2, 3, 4, 9) for s in range(4)], "disc int, start int, number int, mean double, k int")
+    votes = spark.createDataFrame([(1, 0, 1, 1), (1, 2, 2, 0), (2, 1, 1, 0), (2, 2, 1, 1)], "disc int, start int, agree int, disagree int")
+    speech = spark.createDataFrame([(1, 1, 0.9), (2, 3, 0.9), (2, 1, 0.5), (3, 1, 0.51), (3, 2, 0.50), (4, 0, 0.2)], "disc int, start int, score double")
+    hints = spark.createDataFrame([(3, 2), (9, 2)], "disc int, hint int")
+    got = {r["disc"]: (r["start"], r["decided_by"], r["tied"]) for r in S.choose_window(means, votes, speech, hints, "disc").collect()}
+    # Disc 2: as many cards agree with a window that another contradicts. Disc 3: dialogue leads by too little. Disc 4: alone.
+    assert got == {1: (2, "cards", 4), 2: (3, "dialogue", 4), 3: (2, "disc number", 4), 4: (0, "dialogue", 4), 9: (0, "runtime", 1)}
+
+
+def test_one_item_is_selected(spark):
+    from reelsleuth.operators import episodes as E
+
+    items = spark.createDataFrame([("A1", "The Game"), ("B2", "Game Two"), ("C3", "a1 demo")], "id string, name string")
+    assert [r["id"] for r in E.select_one(items, "a1", "id", "name").collect()] == ["A1"] and [r["id"] for r in E.select_one(items, "two", "id", "name").collect()] == ["B2"]
+    for needle, said in (("game", "several"), ("zzz", "nothing")):
+        with pytest.raises(LookupError, match=said):
+            E.select_one(items, needle, "id", "name")
