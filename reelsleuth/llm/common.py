@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,9 +16,11 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it may be unset, a temporary one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="reelsleuth-"))
     return _LOCAL[0]
@@ -35,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget what was cut: shuffle files that no live DataFrame needs are removed once it collects its garbage."""
+    for _ in range(2):  # Python lets go of the JVM's objects a little later
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once a row.
 

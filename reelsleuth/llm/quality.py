@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fetch, fresh_dir, put
+from .common import cut, fetch, fresh_dir, put, release
 
 #: Documents are scored by the model of the other fold's trusted text, so that no text vouches for itself.
 FOLDS = 2
@@ -109,12 +109,12 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch, some SLICE_BYTES of text at a time."""
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some `size` bytes of text at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(ends):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, stop - at)
         at = stop
 
@@ -142,6 +142,33 @@ def unpack(raw: bytes, kind, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=kind) if rising else x
 
 
+def bundle(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def unbundle(raw: bytes) -> list[bytes]:
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<u4"), dtype=np.int64) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def pack_lists(keys: np.ndarray, who: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys, each with the documents that hold it in order and how often: keys once, steps between documents."""
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    at = np.flatnonzero(new)
+    steps = who.copy()
+    steps[1:] = np.where(new[1:], who[1:], who[1:] - who[:-1])
+    return bundle(pack(keys[at], True), pack(np.diff(np.append(at, len(keys))).astype(np.uint32)), pack(steps), pack(n.astype(np.uint32)))
+
+
+def unpack_lists(raw: bytes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, how many documents each has, documents, counts) of pack_lists()."""
+    keys, many, steps, n = unbundle(raw)
+    keys, many, steps, n = unpack(keys, kind, True), unpack(many, np.uint32).astype(np.int64), unpack(steps, np.uint16).astype(np.int64), unpack(n, np.uint32)
+    at, sums = np.cumsum(many) - many, np.cumsum(steps)
+    return keys, many, sums - np.repeat(sums[at] - steps[at], many), n
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from how many counts are 1 to 4."""
     if not n1 or not n2 or not n3 or not n4:
@@ -215,7 +242,7 @@ class Model:
                 spot = _place(keys, shard_bits, filter_bits)
                 return bits[f][(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
 
-            for batch in (x for b in batches for x in _slices(b)):
+            for batch in (x for b in batches for x in slices(b)):
                 syms, sizes = symbols(batch.column("text"))
                 after = np.append(syms[1:], np.uint32(0))
                 # Pieces of BLOCK symbols at most; a block is some pieces of one fold.
@@ -236,7 +263,7 @@ class Model:
                         yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), pack(size[at].astype(np.int32)), None)])
                         hit = known(f, words | ALONE)
                         one, n = _counted(np.sort(words[hit] >> np.uint64(16) | who[hit]))
-                        yield _rows([("words", f, s, block, pack(one[x], True), pack(n[x].astype(np.uint32)), None, None) for s, x in _shards(one, shard_bits, 16)])
+                        yield _rows([("words", f, s, block, pack_lists((one[x] >> np.uint64(16)).astype(np.uint32), one[x].astype(np.uint16), n[x]), None, None, None) for s, x in _shards(one, shard_bits, 16)])
                         words |= np.concatenate([after[x] for x in spans])
                         hit = known(f, words)
                         pairs, who = words[hit], who[hit]
@@ -245,7 +272,7 @@ class Model:
                         new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (who[1:] != who[:-1])))) if len(pairs) else np.zeros(0, np.int64)
                         n = np.diff(np.append(new, len(pairs))).astype(np.uint32)
                         pairs, who = pairs[new], who[new]
-                        yield _rows([("pairs", f, s, block, pack(pairs[x], True), pack(who[x]), pack(n[x]), None) for s, x in _shards(pairs, shard_bits, 32)])
+                        yield _rows([("pairs", f, s, block, pack_lists(pairs[x], who[x], n[x]), None, None, None) for s, x in _shards(pairs, shard_bits, 32)])
 
         def answer(got: pd.DataFrame) -> pd.DataFrame:
             """Shares of a shard's words and pairs in the documents' losses, added by document."""
@@ -265,9 +292,8 @@ class Model:
             fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
             keys, n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             if f"{fold}-{shard}" in tables:
-                raw = fetch(f"{folder}/{fold}-{shard}.counts")
-                size = int.from_bytes(raw[:8], "little")
-                keys, n = unpack(raw[8 : 8 + size], np.uint64, True), unpack(raw[8 + size :], np.uint32)
+                rising, n = unbundle(fetch(f"{folder}/{fold}-{shard}.counts"))
+                keys, n = unpack(rising, np.uint64, True), unpack(n, np.uint32)
             heads, at = (keys >> np.uint64(32)).astype(np.uint32), np.zeros(0, np.int64)
             gain = np.zeros(len(keys))
             if len(keys):
@@ -294,13 +320,11 @@ class Model:
                 at = np.minimum(np.searchsorted(table, asked), max(0, len(table) - 1))
                 return np.where(table[at] == asked, values[at], 0.0) if len(table) else np.zeros(len(asked))
 
-            if "words" in by:
-                for block, a, b in by["words"][["block", "a", "b"]].itertuples(index=False):
-                    both = unpack(a, np.uint64, True)
-                    add(block, both & np.uint64(0xFFFF), found(own, value, (both >> np.uint64(16)).astype(np.uint32)) * unpack(b, np.uint32))
-            if "pairs" in by:
-                for block, a, b, c in by["pairs"][["block", "a", "b", "c"]].itertuples(index=False):
-                    add(block, unpack(b, np.uint16), found(keys, gain, unpack(a, np.uint64, True)) * unpack(c, np.uint32))
+            for kind, table, values, size in (("words", own, value, np.uint32), ("pairs", keys, gain, np.uint64)):
+                if kind in by:
+                    for block, raw in by[kind][["block", "a"]].itertuples(index=False):
+                        asked, many, who, times = unpack_lists(raw, size)
+                        add(block, who, np.repeat(found(table, values, asked), many) * times)
             for block, parts in shares.items():
                 for who, x in parts:
                     out.append(("share", fold, shard, block, pack(who), pack(x.astype(np.float32)), None, None))
@@ -332,7 +356,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     filter_bits = max(shard_bits + 3, min(FILTER_BITS, int(np.ceil(np.log2(max(8, size))))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in _slices(b)):
+        for batch in (x for b in batches for x in slices(b)):
             syms, sizes = symbols(batch.column("text"))
             keys, folds = _pairs(syms), np.repeat(batch.column("fold").to_numpy(), sizes)
             for f in range(FOLDS):
@@ -357,8 +381,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         for some in (keys, heads[np.concatenate(([True], heads[1:] != heads[:-1]))] | ALONE):
             bits[(_place(some, shard_bits, filter_bits) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
         name = put(folder, f"{fold}-{shard}", np.packbits(bits, bitorder="little").tobytes())
-        rising = pack(keys, True)
-        put(folder, f"{name}.counts", len(rising).to_bytes(8, "little") + rising + pack(np.minimum(n, 2**32 - 1).astype(np.uint32)))
+        put(folder, f"{name}.counts", bundle(pack(keys, True), pack(np.minimum(n, 2**32 - 1).astype(np.uint32))))
         out = [("table", fold, shard, 0, None, None, name.encode(), _few(n))]
         words, many = _counted(np.sort(keys & np.uint64(0xFFFFFFFF)))
         out += [("words", fold, s, shard, pack(words[x].astype(np.uint32), True), pack(many[x].astype(np.uint32)), None, None) for s, x in _shards(words, shard_bits, 0)]
@@ -376,6 +399,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
     counted = docs.select(F.col(text_col).alias("text"), fold_of(F.col(text_col)).alias("fold")).mapInArrow(count, _ROW)
     tables = cut(counted.groupBy("fold", "shard").applyInPandas(gather, _ROW))
+    del counted
+    release(spark)
     named = cut(tables.where("kind = 'words'").groupBy("fold", "shard").applyInPandas(lower, _ROW))
     few = {r["fold"]: [r[f"n{k}"] for k in range(4)] for r in tables.where("kind = 'table'").groupBy("fold").agg(*[F.sum(F.col("few")[k]).alias(f"n{k}") for k in range(4)]).collect()}
     uni = {r["fold"]: [r[f"n{k}"] for k in range(6)] for r in named.where("kind = 'uni'").groupBy("fold").agg(*[F.sum(F.col("few")[k]).alias(f"n{k}") for k in range(6)]).collect()}
