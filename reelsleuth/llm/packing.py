@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Permitted sequence lengths in tokens, and the fixed cost in tokens of a sequence of any length.
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -34,6 +36,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
     n = len(lengths)
     order = np.argsort(-lengths, kind="stable")
     falling = lengths[order]
+    rising = -falling
     ahead = np.concatenate((np.cumsum(falling[::-1])[::-1], [0]))  # tokens from each piece on
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     room_of: list[int] = []
@@ -50,7 +53,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
             for cap in caps[caps >= size].tolist():
                 rest = cap - size
                 # pieces longer than the rest can't fill it; those that can come later
-                later = int(np.searchsorted(-falling[at + 1 :], -rest)) + at + 1 if rest and left else n
+                later = int(np.searchsorted(rising[at + 1 :], -rest)) + at + 1 if rest and left else n
                 filled = size + min(rest, int(ahead[min(later, n)]))
                 cost = (cap + overhead) / filled
                 if best is None or cost < best[0]:
@@ -71,13 +74,14 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead
 
     A document of more tokens than the largest capacity is cut into pieces of that length and a rest, so no
     token is dropped. Pieces are dealt by hash to packs of about TOKENS_PER_TASK tokens, each packed by
-    itself; (pack, bin) names a sequence. Null and empty texts have the one token that ends them. Repeated
+    itself; (pack, bin) names a sequence. Rows that share an id or have none are dealt apart. Null and empty texts have the one token that ends them. Repeated
     rows are packed each; a null doc_id like any other; an empty table gives no rows; other columns are ignored.
     """
     most = max(capacities)
-    sized = docs.select(F.col(id_col).alias("doc_id"), (token_count(F.col(text_col)) if tokens is None else tokens).alias("tokens"))
-    pieces = sized.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("tokens", F.lit(1)) - 1) / most))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start_token"), F.least(F.lit(most).cast("long"), F.col("tokens") - F.col("piece") * most).alias("n_tokens"))
+    # Two numbers a row are kept, so that texts are read once; the row's own number deals out rows that share an id.
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), (token_count(F.col(text_col)) if tokens is None else tokens).alias("tokens"), F.monotonically_increasing_id().alias("row")))
+    pieces = sized.select("doc_id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("tokens", F.lit(1)) - 1) / most))).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", (F.col("piece") * most).alias("start_token"), F.least(F.lit(most).cast("long"), F.col("tokens") - F.col("piece") * most).alias("n_tokens"))
     total = sized.agg(F.sum("tokens")).first()[0] or 0
     packs = max(1, -(-total // TOKENS_PER_TASK))
 
@@ -86,5 +90,5 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead
         bins, offsets, capacity = pack(got["n_tokens"].to_numpy(np.int64), capacities, overhead)
         return got.assign(bin=bins, offset=offsets, capacity=capacity)
 
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packs)))
+    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(packs))).drop("row")
     return dealt.groupBy("pack").applyInPandas(one, "doc_id long, piece long, start_token long, n_tokens long, pack long, bin long, offset long, capacity long")
