@@ -15,8 +15,8 @@ from .common import cut
 GROUPS_PER_TASK = 20_000
 #: Partial partitions that one task, or the driver at the end, combines; so the driver holds FAN x shards sums at most.
 FAN = 1024
-#: Parts of a shard that are numbered apart.
-PARTS = 64
+#: Rows of a shard that are numbered together, about.
+ROWS_PER_PART = 200_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -66,8 +66,8 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): all rows, equal texts together, bytes near equal.
 
-    size is the UTF-8 length of the text (null: 0) plus `overhead`. Equal texts, null being one of them,
-    form a group that is never split, so a group larger than a shard's share makes a shard of its own.
+    size is the UTF-8 length of the text (null: 0) plus `overhead`. Equal texts form a group that is never split; null texts are one
+    group and empty ones another, so a group larger than a shard's share makes a shard of its own.
     Tasks difference about GROUPS_PER_TASK groups each into `shards` partial sums; their sums are combined by
     the same rule, FAN at a time, the last FAN by the driver. slot numbers a shard's rows from 0 by a hash of
     doc_id, then doc_id. Repeated rows each get a slot; a null doc_id is a row like others; an empty table
@@ -80,8 +80,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
         F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")).alias("text_crc32"),
         F.coalesce(F.sha2(text_col, 256), F.lit("")).alias("group"),
     )
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    tasks = max(1, -(-groups.count() // GROUPS_PER_TASK))
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    seen = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
+    tasks, parts = max(1, -(-seen["groups"] // GROUPS_PER_TASK)), max(1, -(-(seen["rows"] or 0) // (shards * ROWS_PER_PART)))
 
     def part(got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("group", ignore_index=True)
@@ -89,12 +90,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
         sizes[:, 0] = got["bytes"]
         return got.assign(bin=differencing(sizes, shards)[:, 0])[["group", "task", "bytes", "bin"]]
 
-    dealt = groups.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)).cast("int"))
+    dealt = groups.select("group", "bytes").withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)).cast("int"))
     placed = cut(dealt.groupBy("task").applyInPandas(part, "group string, task int, bytes long, bin long"))
     sums = placed.groupBy("task", "bin").agg(F.sum("bytes").alias("bytes"))
     final = _combine(sums, tasks, shards)
     by_group = placed.join(F.broadcast(final) if tasks <= FAN else final, ["task", "bin"]).select("group", "shard")
-    own = cut(rows.join(by_group, "group").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part")))
+    own = cut(rows.join(by_group, "group").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part")))
     return _slots(own).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -128,7 +129,7 @@ def _slots(own: DataFrame) -> DataFrame:
     """Adds slot: numbers within (shard, part), after the rows of the shard's parts before."""
     from pyspark.sql import Window
 
-    counts = own.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # shards x PARTS rows at most
+    counts = own.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each part
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = own.withColumn("at", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1)
     return numbered.join(F.broadcast(before.drop("n")), ["shard", "part"]).withColumn("slot", (F.col("at") + F.col("before")).cast("long"))
