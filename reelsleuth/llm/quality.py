@@ -41,6 +41,8 @@ BLOCK, SLICE_BYTES = 1 << 20, 12_000_000
 #: Bits of a fold's filter at most (16 MB): each word and pair of trusted text sets one. Words and pairs of texts whose bit isn't set
 #: don't travel; a full filter lets all of them through, so that its size bears on traffic alone.
 FILTER_BITS = 27
+#: Most frequent words of a fold, about, whose values every task holds (1 MB): they are in nearly all texts and don't travel.
+HEAD_WORDS = 1 << 16
 #: What stands for a word in the filter, as if it came after it.
 ALONE = np.uint64(0xFFFFFFFF)
 
@@ -213,6 +215,37 @@ def _filter(folder: str, shard_bits: int, bits: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _head(folder: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words, values) of the most frequent words of each fold, once a worker."""
+    out = []
+    for raw in unbundle(fetch(f"{folder}/head")):
+        words, values = unbundle(raw)
+        out.append((unpack(words, np.uint32, True), unpack(values, np.float64)))
+    return out
+
+
+def _found(table: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each key asked for, 0 for those that aren't in the sorted table."""
+    at = np.minimum(np.searchsorted(table, asked), max(0, len(table) - 1))
+    return np.where(table[at] == asked, values[at], 0.0) if len(table) else np.zeros(len(asked))
+
+
+def _shard_counts(folder: str, fold: int, shard: int) -> tuple[np.ndarray, ...]:
+    """(pairs, counts, contexts, where each context's pairs begin, how many it has) of a shard's table."""
+    rising, n = unbundle(fetch(f"{folder}/{fold}-{shard}.counts"))
+    keys, n = unpack(rising, np.uint64, True), unpack(n, np.uint32).astype(np.int64)
+    heads = (keys >> np.uint64(32)).astype(np.uint32)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(heads)), bool), heads[1:] != heads[:-1])))
+    return keys, n, heads[at], at, np.diff(np.append(at, len(keys)))
+
+
+def _word_values(words: np.ndarray, n: np.ndarray, heads: np.ndarray, weight: np.ndarray, stats: tuple) -> np.ndarray:
+    """What each word of a shard adds to a text's log chance: its own against an unseen word's, and its weight of the lower order."""
+    d1, types, unseen, _ = stats
+    return np.log(((n - d1[np.minimum(n, 3)]) / types + unseen) / unseen) + _found(heads, np.log(weight), words)
+
+
 _ROW = "kind string, fold int, shard int, block long, a binary, b binary, c binary, few array<long>"
 _COLUMNS = [x.split()[0] for x in _ROW.split(", ")]
 _SCHEMA = pa.schema([("kind", pa.string()), ("fold", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("few", pa.list_(pa.int64()))])
@@ -236,7 +269,7 @@ class Model:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            bits, part, number = _filter(folder, shard_bits, filter_bits), TaskContext.get().partitionId(), 0
+            bits, frequent, part, number = _filter(folder, shard_bits, filter_bits), _head(folder), TaskContext.get().partitionId(), 0
 
             def known(f: int, keys: np.ndarray) -> np.ndarray:
                 spot = _place(keys, shard_bits, filter_bits)
@@ -260,8 +293,12 @@ class Model:
                         spans = [slice(a, a + n) for a, n in zip(start[at].tolist(), size[at].tolist())]
                         who = np.repeat(np.arange(len(at), dtype=np.uint16), size[at])
                         words = np.concatenate([syms[x] for x in spans]).astype(np.uint64) << np.uint64(32)
-                        yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), pack(size[at].astype(np.int32)), None)])
-                        hit = known(f, words | ALONE)
+                        here = (words >> np.uint64(32)).astype(np.uint32)
+                        spot = np.minimum(np.searchsorted(frequent[f][0], here), max(0, len(frequent[f][0]) - 1))
+                        held = frequent[f][0][spot] == here if len(frequent[f][0]) else np.zeros(len(here), bool)
+                        sums = np.bincount(who[held], frequent[f][1][spot[held]], len(at))
+                        yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), bundle(pack(size[at].astype(np.int32)), pack(sums)), None)])
+                        hit = known(f, words | ALONE) & ~held
                         one, n = _counted(np.sort(words[hit] >> np.uint64(16) | who[hit]))
                         yield _rows([("words", f, s, block, pack_lists((one[x] >> np.uint64(16)).astype(np.uint32), one[x].astype(np.uint16), n[x]), None, None, None) for s, x in _shards(one, shard_bits, 16)])
                         words |= np.concatenate([after[x] for x in spans])
@@ -277,54 +314,38 @@ class Model:
         def answer(got: pd.DataFrame) -> pd.DataFrame:
             """Shares of a shard's words and pairs in the documents' losses, added by document."""
             out = [("docs", f, 0, block, a, b, c, None) for f, block, a, b, c in got.loc[got["kind"] == "docs", ["fold", "block", "a", "b", "c"]].itertuples(index=False)]
-            d1, types, unseen, d2 = stats[int(got["fold"].iloc[0])]
+            fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
+            d1, types, unseen, d2 = stats[fold]
             by = {k: x for k, x in got.groupby("kind")}
 
             def words_of(kind: str) -> tuple[np.ndarray, np.ndarray]:
-                parts = [(unpack(a, np.uint32, True), unpack(b, np.uint32)) for a, b in zip(by[kind]["a"], by[kind]["b"])] if kind in by else []
-                w, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+                parts = [(unpack(a, np.uint32, True), unpack(b, np.uint32)) for a, b in zip(by[kind]["a"], by[kind]["b"])]
+                w, n = (np.concatenate(x) for x in zip(*parts))
                 order = np.argsort(w)
-                return w[order], n[order]
+                return w[order], n[order].astype(np.int64)
 
-            def chance(n: np.ndarray) -> np.ndarray:
-                return (n - d1[np.minimum(n, 3)]) / types + unseen
-
-            fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
-            keys, n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            own, value, keys, gain = np.zeros(0, np.uint32), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
             if f"{fold}-{shard}" in tables:
-                rising, n = unbundle(fetch(f"{folder}/{fold}-{shard}.counts"))
-                keys, n = unpack(rising, np.uint64, True), unpack(n, np.uint32)
-            heads, at = (keys >> np.uint64(32)).astype(np.uint32), np.zeros(0, np.int64)
-            gain = np.zeros(len(keys))
-            if len(keys):
-                at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
-                total, cut_off = np.add.reduceat(n.astype(np.int64), at), np.add.reduceat(d2[np.minimum(n, 3)], at)
-                weight, each = cut_off / total, np.diff(np.append(at, len(keys)))
+                keys, n, heads, at, each = _shard_counts(folder, fold, shard)
+                total = np.add.reduceat(n, at)
+                weight = np.add.reduceat(d2[np.minimum(n, 3)], at) / total
                 lw, ln = words_of("lower")
-                low = chance(ln[np.searchsorted(lw, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))])
+                ln = ln[np.searchsorted(lw, (keys & ALONE).astype(np.uint32))]
+                low = (ln - d1[np.minimum(ln, 3)]) / types + unseen
                 gain = np.log1p((n - d2[np.minimum(n, 3)]) / np.repeat(total, each) / (np.repeat(weight, each) * low))
-                heads = heads[at]
-            uw, un = words_of("uni")
-            own = np.union1d(heads, uw)
-            value = np.zeros(len(own))
-            value[np.searchsorted(own, uw)] += np.log(chance(un) / unseen)
-            if len(at):
-                value[np.searchsorted(own, heads)] += np.log(weight)
+                own, un = words_of("uni")
+                value = _word_values(own, un, heads, weight, stats[fold])
             shares: dict[int, tuple] = {}
 
             def add(block: int, who: np.ndarray, x: np.ndarray) -> None:
                 one, back = np.unique(who, return_inverse=True)
                 shares.setdefault(block, []).append((one.astype(np.uint16), np.bincount(back, x, len(one))))
 
-            def found(table: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-                at = np.minimum(np.searchsorted(table, asked), max(0, len(table) - 1))
-                return np.where(table[at] == asked, values[at], 0.0) if len(table) else np.zeros(len(asked))
-
             for kind, table, values, size in (("words", own, value, np.uint32), ("pairs", keys, gain, np.uint64)):
                 if kind in by:
                     for block, raw in by[kind][["block", "a"]].itertuples(index=False):
                         asked, many, who, times = unpack_lists(raw, size)
-                        add(block, who, np.repeat(found(table, values, asked), many) * times)
+                        add(block, who, np.repeat(_found(table, values, asked), many) * times)
             for block, parts in shares.items():
                 for who, x in parts:
                     out.append(("share", fold, shard, block, pack(who), pack(x.astype(np.float32)), None, None))
@@ -333,8 +354,8 @@ class Model:
         def total(got: pd.DataFrame) -> pd.DataFrame:
             """The losses of a block's documents."""
             (fold, a, b, c), = got.loc[got["kind"] == "docs", ["fold", "a", "b", "c"]].itertuples(index=False)
-            keys, piece, size = unpack(a, np.int64), unpack(b, np.int32), unpack(c, np.int32)
-            sums = np.zeros(len(keys))
+            size, sums = unbundle(c)
+            keys, piece, size, sums = unpack(a, np.int64), unpack(b, np.int32), unpack(size, np.int32), unpack(sums, np.float64).copy()
             shares = got[got["kind"] == "share"]
             for who, x in sorted(zip(shares["a"], shares["b"])):  # in one order, whatever the order they came in
                 sums[unpack(who, np.uint16)] += unpack(x, np.float32)
@@ -411,6 +432,25 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         # What discounts take from words' chances, shared by all words and one more, which stands for unseen ones.
         taken = d1[1] * ns[0] + d1[2] * ns[1] + d1[3] * (words - ns[0] - ns[1])
         stats.append((d1, max(1, types), (taken / types if types else 1.0) / (words + 1), discounts(*few.get(f, [0] * 4))))
+
+    def head(got: pd.DataFrame) -> pd.DataFrame:
+        """Values of a shard's most frequent words."""
+        fold, shard = int(got["fold"].iloc[0]), int(got["shard"].iloc[0])
+        words, n = unpack(got["a"].iloc[0], np.uint32, True), unpack(got["b"].iloc[0], np.uint32).astype(np.int64)
+        _, counts, heads, at, _ = _shard_counts(folder, fold, shard)
+        total = np.add.reduceat(counts, at)
+        value = _word_values(words, n, heads, np.add.reduceat(stats[fold][3][np.minimum(counts, 3)], at) / total, stats[fold])
+        most = np.sort(np.argsort(-_found(heads, total, words), kind="stable")[: max(1, HEAD_WORDS >> shard_bits)])
+        return pd.DataFrame([("head", fold, shard, 0, pack(words[most], True), pack(value[most]), None, None)], columns=_COLUMNS)
+
+    got = named.where("kind = 'uni'").groupBy("fold", "shard").applyInPandas(head, _ROW).select("fold", "shard", "a", "b").collect()  # HEAD_WORDS a fold, about
+    folds = []
+    for f in range(FOLDS):
+        mine = sorted((r["shard"], bytes(r["a"]), bytes(r["b"])) for r in got if r["fold"] == f)
+        words = [unpack(a, np.uint32, True) for _, a, _ in mine] or [np.zeros(0, np.uint32)]
+        values = [unpack(b, np.float64) for _, _, b in mine] or [np.zeros(0)]
+        folds.append(bundle(pack(np.concatenate(words), True), pack(np.concatenate(values))))
+    put(folder, "head", bundle(*folds))
     names = [bytes(r["c"]).decode() for r in tables.where("kind = 'table'").select("c").collect()]  # a name a shard
     put(folder, "names", " ".join(sorted(names)).encode())
     return Model(named.withColumn("few", F.lit(None).cast("array<long>")), frozenset(names), folder, shard_bits, filter_bits, stats)

@@ -436,6 +436,7 @@ def test_perplexity_equals_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(Q, "SHARD_BYTES", 2000)
         monkeypatch.setattr(Q, "BLOCK", 16)
         monkeypatch.setattr(Q, "FILTER_BITS", 8)
+        monkeypatch.setattr(Q, "HEAD_WORDS", 16)
     rng = random.Random(9)
     texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(0, 60))) for _ in range(150)]
     texts += [texts[1], texts[2], "new words only", "w1 " * 40, ""]
