@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .solve import assign_groups, order_groups
+from .solve import assign, order_groups
 
 # Minutes within which windows tie, and the lead that dialogue needs.
 TIE_MINUTES, DIALOGUE_MARGIN = 0.5, 0.02
@@ -30,12 +32,20 @@ def windows(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def paired(found: DataFrame, by: str, cost: str) -> DataFrame:
-    """(by, start, title, pos, cost): the least-cost pairing within each window."""
-    rows = found.withColumn("window", F.struct(by, "start"))
-    keyed = rows.withColumn("key", F.concat_ws("/", F.col(by).cast("string"), F.col("start").cast("string")))
-    best = assign_groups(keyed.select("key", "title", "pos", cost), "key", "title", "pos", cost)
-    names = keyed.select("key", by, "start").distinct()
-    return best.join(names, "key").drop("key")
+    """(by, start, title, pos, cost): the least-cost pairing within each window; a disc's windows are one call."""
+    def one(got: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for start, rows in got.sort_values(["start", "title", "pos"]).groupby("start"):
+            k = rows["title"].nunique()
+            if len(rows) == k * k:
+                grid = rows[cost].to_numpy(float).reshape(k, k)
+                chosen = rows.iloc[np.arange(k) * k + assign(grid)]
+                out.append(chosen[np.isfinite(chosen[cost].to_numpy(float))])
+        return pd.concat(out)[[by, "start", "title", "pos", cost]] if out else got[[by, "start", "title", "pos", cost]].iloc[:0]
+
+    types = dict(found.dtypes)
+    columns = [by, "start", "title", "pos", cost]
+    return found.select(*columns).groupBy(by).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in columns))
 
 
 def by_cards(votes: DataFrame, by: str) -> DataFrame:

@@ -203,7 +203,7 @@ def ordered_titles(spark, sf_dir):
 @query(
     "O07_specials",
     # Of all ways to give titles a special of their own or none, the least; then margins.
-    f"WITH {_PAIRS}, s AS (SELECT grp, title, episode, cost * 5 AS score FROM pairs WHERE (title + episode) % 5 <> 0), o AS (SELECT grp, title, episode, score FROM s UNION ALL SELECT DISTINCT grp, title, NULL, 0 FROM pairs), "
+    f"WITH {_PAIRS}, s AS (SELECT grp, title, episode, cost * 5 + title * (episode + 1) % 101 / 10000.0 AS score FROM pairs WHERE (title + episode) % 5 <> 0), o AS (SELECT grp, title, episode, score FROM s UNION ALL SELECT DISTINCT grp, title, NULL, 0 FROM pairs), "
     "n AS (SELECT grp, title, row_number() OVER (PARTITION BY grp ORDER BY title) AS i FROM (SELECT DISTINCT grp, title FROM pairs)), t AS (SELECT o.*, i FROM o JOIN n USING (grp, title)), "
     "ways AS (SELECT a.grp, a.episode AS e1, b.episode AS e2, c.episode AS e3, a.score + coalesce(b.score, 0) + coalesce(c.score, 0) AS total FROM t a LEFT JOIN t b ON b.grp = a.grp AND b.i = 2 LEFT JOIN t c ON c.grp = a.grp AND c.i = 3 WHERE a.i = 1 AND coalesce(a.episode <> b.episode, true) AND coalesce(a.episode <> c.episode, true) AND coalesce(b.episode <> c.episode, true)), "
     "won AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY grp ORDER BY total DESC) = 1), "
@@ -212,7 +212,7 @@ def ordered_titles(spark, sf_dir):
     "SELECT grp, title, special, round(margin, 6)::DOUBLE AS margin, margin >= 1.5 AS accepted FROM m",
 )
 def specials(spark, sf_dir):
-    rows = pairs(spark, sf_dir).where("(title + episode) % 5 <> 0").withColumn("score", c("cost") * 5)
+    rows = pairs(spark, sf_dir).where("(title + episode) % 5 <> 0").withColumn("score", c("cost") * 5 + c("title") * (c("episode") + 1) % 101 / 10000)  # no two ways cost the same
     return V.special_groups(rows, "grp", "title", "episode", "score").withColumnRenamed("episode", "special").withColumn("margin", F.round("margin", 6))
 
 
