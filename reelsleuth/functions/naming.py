@@ -80,8 +80,13 @@ def slug(text: Column) -> Column:
 
 
 def stamp(seconds: Column) -> Column:
-    """Unix seconds as `YYYYMMDD-HHMMSS` UTC."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyyMMdd-HHmmss")
+    """Seconds since 1970 as YYYYmmdd-HHMMSS in UTC, years beyond 9999 in full; whatever the session's time zone."""
+    rest = F.pmod(seconds, F.lit(86400).cast("long"))
+    day = F.date_from_unix_date(((seconds - rest) / 86400).cast("int"))
+    year = F.year(day)
+    years = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    return F.concat(years, two(F.month(day)), two(F.day(day)), F.lit("-"), two(F.floor(rest / 3600)), two(F.floor(rest % 3600 / 60)), two(rest % 60))
 
 
 def hms(seconds: Column) -> Column:

@@ -53,3 +53,28 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def grown(tmp_path, name, keys, **columns):
+    """A copy of a table of the smallest set whose first rows have `keys`; its folder, and DuckDB over it."""
+    import duckdb
+    import pandas as pd
+
+    rows = pd.read_parquet(f"{SF}/{name}.parquet")
+    rows = pd.concat([rows] * (len(keys) // len(rows) + 1)).head(len(keys)).reset_index(drop=True).assign(**columns)
+    rows[rows.columns[0]] = list(keys)
+    rows.to_parquet(tmp_path / f"{name}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    return str(tmp_path), con
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_stamps_beyond_the_year_9999(spark, tmp_path, zone):
+    sf_dir, con = grown(tmp_path, "orders", [-800000, -730000, -600000, -1, 0, 1, 63, 18693, 2932455, 2932456, 6670997, 6671001, 8999999, 91000000])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert normal(QUERIES["F24_stamp"](spark, sf_dir).toPandas()) == normal(con.sql(ORACLES["F24_stamp"]).df())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
