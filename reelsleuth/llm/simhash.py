@@ -5,7 +5,8 @@ halves. A vantage-point tree for each half therefore has to be searched at that
 and every pair that it offers is checked on all 64 bits.
 
 Near copies by likeness (near_copies) need more bits: at a Jaccard similarity of 0.8 a sixth of a fingerprint's bits differ. Theirs
-have 256, in BANDS bands of BAND_BITS with a tree each, searched at radius 1; every pair is checked on all bits.
+have 256, in BANDS bands of BAND_BITS with a tree each, searched at radius 1; every pair is checked on all bits, and then on its
+shingles. Pairs that fingerprints miss are found by their rarest shingles, so that none is left out.
 """
 
 from __future__ import annotations
@@ -221,18 +222,24 @@ def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     return by_node.join(least, "root").select("node", "component_id")
 
 
-def wide_fingerprints(texts: pa.Array, words_each: int) -> np.ndarray:
-    """(n, LANES): 64 x LANES bits of SimHash over the different word shingles of each text, ASCII letters lower-cased.
+#: Bits of a shingle's hash.
+SHINGLE_BITS = 44
+#: Shingles that one task counts, about.
+SHARD = 4_000_000
+#: Pairs a text beyond which pivots are tried before all pairs of a shared shingle are.
+MANY_PAIRS, TURNS = 4, 8
 
-    Fewer words than a shingle holds make one shingle; no words make zeros.
+
+def _shingled(texts: pa.Array, words_each: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, owner, heads, tails, hashes) of some texts at once, about 50,000 shingles: the different shingles of the
+    text first + owner[i], ASCII letters lower-cased, are hashes[heads[i]:tails[i]]. Texts without words have none.
     """
     syms, sizes = symbols(pc.ascii_lower(texts.cast(pa.large_string())))
-    out = np.zeros((len(sizes), LANES), np.uint64)
     first = np.cumsum(sizes) - sizes + 1  # after the symbol that begins a text
     many = np.where(sizes > 0, np.maximum(sizes - words_each, 1), 0)
     weights = _mixed(np.arange(1, words_each + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     at = 0
-    while at < len(sizes):  # some texts at once, about 50,000 shingles
+    while at < len(sizes):
         stop = at + max(1, int(np.searchsorted(np.cumsum(many[at : at + 50_000]), 50_000, "right")))
         doc = np.repeat(np.arange(stop - at), many[at:stop])
         if len(doc):
@@ -241,19 +248,35 @@ def wide_fingerprints(texts: pa.Array, words_each: int) -> np.ndarray:
             h = np.zeros(len(doc), np.uint64)
             for k in range(words_each):
                 h += np.where(place + k < end, syms[np.minimum(place + k, len(syms) - 1)], 0).astype(np.uint64) * weights[k]
-            one = np.sort(doc.astype(np.uint64) << np.uint64(44) | _mixed(h) >> np.uint64(20))
+            one = np.sort(doc.astype(np.uint64) << np.uint64(SHINGLE_BITS) | _mixed(h) >> np.uint64(64 - SHINGLE_BITS))
             one = one[np.concatenate(([True], one[1:] != one[:-1]))]
-            owner, heads, tails = _runs((one >> np.uint64(44)).astype(np.int64))
-            half = (tails - heads)[:, None]
-            one &= np.uint64((1 << 44) - 1)
-            for lane in range(LANES):
-                for s, e, rows in _slices(heads, tails, 65_536):
-                    bits = np.unpackbits(_mixed(one[s:e] + np.uint64(lane + 1 << 48)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                    ones = np.add.reduceat(bits, heads[rows] - s, axis=0, dtype=np.int32)
-                    packed = np.packbits(2 * ones > half[rows], axis=1)
-                    out[at + owner[rows], lane] = packed.view(">u8")[:, 0]
+            owner, heads, tails = _runs((one >> np.uint64(SHINGLE_BITS)).astype(np.int64))
+            yield at, owner, heads, tails, one & np.uint64((1 << SHINGLE_BITS) - 1)
         at = stop
-    return out
+
+
+def wide_fingerprints(texts: pa.Array, words_each: int) -> np.ndarray:
+    """(n, LANES): 64 x LANES bits of SimHash over the different word shingles of each text, ASCII letters lower-cased.
+
+    Fewer words than a shingle holds make one shingle; no words make zeros.
+    """
+    return _wide(texts, words_each)[0]
+
+
+def _wide(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Wide fingerprints, a hash of the set of shingles, and how many different ones there are."""
+    out, keys, n = np.zeros((len(texts), LANES), np.uint64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+    for at, owner, heads, tails, one in _shingled(texts, words_each):
+        half = (tails - heads)[:, None]
+        n[at + owner] = tails - heads
+        keys[at + owner] = _mixed(np.add.reduceat(_mixed(one + np.uint64(9 << 48)), heads) ^ (tails - heads).astype(np.uint64))
+        for lane in range(LANES):
+            for s, e, rows in _slices(heads, tails, 65_536):
+                bits = np.unpackbits(_mixed(one[s:e] + np.uint64(lane + 1 << 48)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                ones = np.add.reduceat(bits, heads[rows] - s, axis=0, dtype=np.int32)
+                packed = np.packbits(2 * ones > half[rows], axis=1)
+                out[at + owner[rows], lane] = packed.view(">u8")[:, 0]
+    return out, keys, n
 
 
 def _slices(heads: np.ndarray, tails: np.ndarray, size: int) -> Iterator[tuple[int, int, slice]]:
@@ -271,28 +294,131 @@ def radius_of(similarity: float, bits: int = 64 * LANES) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
+def _blocks(nodes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, block) of shingles' hashes and of the nodes that hold them, owner[i] being the place of its node."""
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    for k, first, last in zip(*(x.tolist() for x in _runs(shard[order]))):
+        rows = order[first:last]
+        some, at = np.unique(owner[rows], return_inverse=True)
+        h = hashes[rows]
+        yield k, b"".join((np.array([len(rows), len(some)], np.uint32).tobytes(), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes(), nodes[some].tobytes()))
+
+
+def _unblocked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, nodes) of a block, one row a shingle."""
+    m, d = np.frombuffer(block, np.uint32, 2).tolist()
+    low, high, at = np.frombuffer(block, np.uint32, m, 8), np.frombuffer(block, np.uint16, m, 8 + 4 * m), np.frombuffer(block, np.uint16, m, 8 + 6 * m)
+    return low | high.astype(np.uint64) << np.uint64(32), np.frombuffer(block, np.int64, d, 8 + 8 * m)[at]
+
+
+def shared_shingles(docs: DataFrame, words_each: int, shards: int) -> DataFrame:
+    """(node, shared): of each different set of shingles in `docs` (text), those that another set holds too, in some rows.
+
+    A shingle is its hash, and above that in how many sets it is, so that rarer ones sort first. Each set counts once.
+    """
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (y for b in batches for x in slices(b, 4_000_000) for y in (x.slice(k, 60_000) for k in range(0, len(x), 60_000))):
+            nodes, owners, hashes = np.zeros(len(batch), np.int64), [], []
+            for at, owner, heads, tails, one in _shingled(batch.column("text"), words_each):
+                nodes[at + owner] = _mixed(np.add.reduceat(_mixed(one + np.uint64(9 << 48)), heads) ^ (tails - heads).astype(np.uint64)).view(np.int64)
+                owners.append(np.repeat(at + owner, tails - heads))
+                hashes.append(one)
+            if not hashes:
+                continue
+            owner, one = np.concatenate(owners), np.concatenate(hashes)
+            held = nodes[np.unique(owner)]
+            fresh = np.zeros(len(nodes), bool)  # copies within the batch go once
+            fresh[np.unique(owner)[np.unique(held, return_index=True)[1]]] = True
+            keep = fresh[owner]
+            got = list(_blocks(nodes, owner[keep], one[keep], shards))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "block"])
+
+    def count(got: pa.Table) -> pa.Table:
+        parts = [_unblocked(x.as_py()) for x in got.column("block")]
+        h, node = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        order = np.lexsort((node, h))
+        h, node = h[order], node[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
+        h, node = h[new], node[new]
+        _, first, last = _runs(h)
+        sets = np.repeat(last - first, last - first)
+        node, value = node[sets > 1], (np.minimum(sets, (1 << 18) - 1).astype(np.uint64) << np.uint64(SHINGLE_BITS) | h)[sets > 1].view(np.int64)
+        order = np.argsort(node, kind="stable")
+        value = value[order]
+        key, first, last = _runs(node[order])
+        return pa.table({"node": pa.array(key), "shared": pa.ListArray.from_arrays(pa.array(np.append(first, len(value)), pa.int32()), pa.array(value))})
+
+    return docs.select("text").mapInArrow(give, "shard int, block binary").groupBy("shard").applyInArrow(count, "node long, shared array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those pairs whose sets of shingles are `similarity` alike; shingles that both hold are shared ones."""
+    one, two = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("shared").alias(f"shared_{k}")) for k in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("shared_a", "shared_b")))
+    return both.where(F.col("i") >= (F.col("n_a") + F.col("n_b") - F.col("i")) * similarity - 1e-9).select("a", "b")
+
+
+def _classed(postings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Postings with the class that edges put their node into."""
+    roots = connected_components(edges).withColumnRenamed("node", "linked")
+    return cut(postings.join(roots, postings["node"] == roots["linked"], "left").select("token", "node", "n", F.coalesce("root", "node").alias("class")))
+
+
+def likeness_links(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): `edges`, all of which are alike, and enough other pairs of `similarity` or more to join all such pairs.
+
+    `sets` is (node, n, shared): shared shingles, the rarest first. Of two sets that are alike, each holds one of the other's among its
+    first n - ceil(similarity n) + 1, in any order common to all; those that no other set holds come before, and need no look.
+    Only pairs of different classes meet. Where very many would, each shingle's pivot meets the others first, which joins what is much alike.
+    """
+    least = F.ceil(F.col("n") * similarity - 1e-9)
+    postings = cut(sets.select("node", "n", F.explode(F.slice("shared", F.lit(1), (F.size("shared") - least + 1).cast("int"))).alias("token")))
+    total = sets.count()
+    for turn in range(TURNS + 1):
+        classed = _classed(postings, edges)
+        x, y = (classed.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "class")]) for k in "ab")
+        fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
+        met = x.join(y, "token").where((F.col("class_a") < F.col("class_b")) & fits)
+        if turn == TURNS or met.count() <= MANY_PAIRS * total:
+            return edges.unionByName(_alike(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, similarity))
+        pivots = classed.groupBy("token").agg(F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        starred = classed.join(pivots, "token").where("class <> p.class").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        edges = cut(edges.unionByName(_alike(starred, sets, similarity)))
+
+
 def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_key, component_id) for each row of `docs`: groups of texts of `similarity` or more, judged by wide SimHash.
+    """(doc_id, text_key, component_id) for each row of `docs`: groups of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    Two texts link whose 256 bits differ by radius_of(similarity) at most and whose bits differ by 1 at most in one of the 12 bands of 20.
-    Of pairs at 0.8 about four in five link, at 0.85 nineteen in twenty, at 0.9 nearly all; of pairs at 0.7 one in five. component_id is the
-    smallest doc_id that links reach. Null and empty texts are one group. Repeated rows appear again; a null doc_id
-    stays null and names no component unless all are null; an empty table gives no rows; other columns are ignored.
+    Links are exact, but for hashes of shingles that collide: those that wide SimHash offers are checked on the sets, and those
+    that it misses are found by rare shingles. component_id is the smallest doc_id that links reach. Null and empty texts are one group.
+    Repeated rows appear again; a null doc_id stays null and names no component unless all are null; an empty table gives no rows;
+    other columns are ignored.
     """
     columns = [f"f{k}" for k in range(LANES)]
     keyed = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 4_000_000)):
-            fps = wide_fingerprints(batch.column("text"), words_each).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(fps[:, k]) for k in range(LANES))], names=["doc_id", "text_key", *columns])
+            fps, keys, n = _wide(batch.column("text"), words_each)
+            fps = fps.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(fps[:, k]) for k in range(LANES)), pa.array(keys.view(np.int64)), pa.array(n)], names=["doc_id", "text_key", *columns, "node", "n"])
 
     schema = keyed.select("doc_id", "text_key").schema
-    for c in columns:
+    for c in (*columns, "node", "n"):
         schema = schema.add(c, T.LongType())
-    own = cut(keyed.mapInArrow(each, schema).withColumn("node", F.xxhash64(*columns)))
-    distinct = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in columns]))
-    named = _components(distinct, links(distinct, radius_of(similarity), LEAF, tuple(columns), BANDS, 1))
+    own = cut(keyed.mapInArrow(each, schema))
+    distinct = cut(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in columns]))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    shared = shared_shingles(docs, words_each, max(1, -(-total // SHARD))).groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("shared"))).alias("shared"))
+    # A text that shares too few shingles with all others together is like none of them.
+    sets = cut(distinct.join(shared, "node").where(F.size("shared") >= F.ceil(F.col("n") * similarity - 1e-9)).select("node", "n", "shared", *columns))
+    fps = cut(sets.groupBy(*columns).agg(F.min("node").alias("node")))
+    same = sets.select(F.col("node").alias("b"), *columns).join(fps.withColumnRenamed("node", "a"), columns).where("a <> b").select("a", "b")
+    offered = links(fps, radius_of(similarity), LEAF, tuple(columns), BANDS, 1).unionByName(same)
+    sets = sets.select("node", "n", "shared")
+    edges = likeness_links(sets, cut(_alike(offered, sets, similarity)), similarity)
+    named = _components(distinct, edges)
     return own.join(named, "node").select("doc_id", "text_key", "component_id")
 
 

@@ -126,6 +126,42 @@ def test_near_copies_against_all_pairs(spark):
     assert len(near) > 100 and np.mean(near) >= 0.93 and np.mean(far) < 0.02
 
 
+def like(x, y):
+    return x == y or bool(x | y) and len(x & y) >= 0.8 * len(x | y)
+
+
+@pytest.mark.parametrize("many", [0, 4])
+def test_near_copies_are_all_pairs_of_the_threshold(spark, many, monkeypatch):
+    """Pairs near the threshold on either side, short texts, and a group of which all share most shingles."""
+    monkeypatch.setattr(S, "MANY_PAIRS", many)
+    rng = np.random.default_rng(5)
+    texts = [None, "", "a b", "A  b", "a b c", "one two three four five six"]
+    for size in (12, 30, 60, 200):
+        for _ in range(25):
+            words = [f"w{k}" for k in rng.integers(0, 5000, size)]
+            texts.append(" ".join(words))
+            for _ in range(3):
+                cut = int(rng.integers(0, size // 5 + 1))  # a changed end: likeness about (size - cut) / (size + cut)
+                texts.append(" ".join(words[: size - cut] + [f"n{k}" for k in rng.integers(0, 10**6, cut)]))
+    common = [f"c{k}" for k in range(60)]
+    texts += [" ".join(common + [f"u{j}_{k}" for k in range(int(rng.integers(0, 14)))]) for j in range(60)]
+    sets = [frozenset(shingles(t or "")) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if like(x, sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    assert got.to_dict() == {i: find(i) for i in range(len(texts))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
