@@ -26,7 +26,11 @@ def counted(words: Column) -> Column:
     """Array of struct(word, n) of the different words of an array, counted by the runs of the sorted array."""
     def runs(s: Column) -> Column:
         ends = F.filter(F.transform(s, lambda w, i: F.when((i == F.size(s) - 1) | (F.get(s, i + 1) != w), i)), lambda i: i.isNotNull())
-        return F.transform(ends, lambda e, k: F.struct(F.get(s, e).alias("word"), (e - F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(-1))).cast("long").alias("n")))
+
+        def made(es: Column) -> Column:  # bound, or each run would find all ends again
+            return F.transform(es, lambda e, k: F.struct(F.get(s, e).alias("word"), (e - F.coalesce(F.when(k > 0, F.get(es, k - 1)), F.lit(-1))).cast("long").alias("n")))
+
+        return F.element_at(F.transform(F.array(ends), made), 1)
 
     return F.element_at(F.transform(F.array(F.array_sort(words)), runs), 1)
 

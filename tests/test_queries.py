@@ -78,3 +78,13 @@ def test_stamps_beyond_the_year_9999(spark, tmp_path, zone):
         assert normal(QUERIES["F24_stamp"](spark, sf_dir).toPandas()) == normal(con.sql(ORACLES["F24_stamp"]).df())
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_word_counts_of_a_long_text(spark, tmp_path):
+    """In proportion to its words: each word once looked for the ends of all others."""
+    import time
+
+    sf_dir, con = grown(tmp_path, "documents", [1, 2], text=[" ".join(f"word{k % 60_000}" for k in range(90_000)), "one two one"])
+    began = time.time()
+    assert normal(QUERIES["A01_word_counts"](spark, sf_dir).toPandas()) == normal(con.sql(ORACLES["A01_word_counts"]).df())
+    assert time.time() - began < 60
