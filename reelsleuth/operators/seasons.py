@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .solve import assign, order_groups
+from .solve import FEW, _begins, assign, by_groups, least_pairings, order_groups
 
 # Minutes within which windows tie, and the lead that dialogue needs.
 TIE_MINUTES, DIALOGUE_MARGIN = 0.5, 0.02
@@ -32,20 +32,24 @@ def windows(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def paired(found: DataFrame, by: str, cost: str) -> DataFrame:
-    """(by, start, title, pos, cost): the least-cost pairing within each window; a disc's windows are one call."""
-    def one(got: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for start, rows in got.sort_values(["start", "title", "pos"]).groupby("start"):
-            k = rows["title"].nunique()
-            if len(rows) == k * k:
-                grid = rows[cost].to_numpy(float).reshape(k, k)
-                chosen = rows.iloc[np.arange(k) * k + assign(grid)]
-                out.append(chosen[np.isfinite(chosen[cost].to_numpy(float))])
-        return pd.concat(out)[[by, "start", "title", "pos", cost]] if out else got[[by, "start", "title", "pos", cost]].iloc[:0]
+    """(by, start, title, pos, cost): the least-cost pairing within each window; many discs' windows are one call."""
+    columns = [by, "start", "title", "pos", cost]
+
+    def many(got: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
+        first = _begins(got[by], got["start"])
+        length = np.diff(np.append(first, len(got)))
+        titles = np.add.reduceat(np.isin(np.arange(len(got)), _begins(got[by], got["start"], got["title"])).astype(np.int64), first)
+        price, taken = got[cost].to_numpy(float), []
+        for k in np.unique(titles[length == titles * titles]).tolist():
+            at = first[(length == titles * titles) & (titles == k), None] + np.arange(k * k)
+            grids = price[at].reshape(-1, k, k)
+            chosen = least_pairings(grids) if k <= FEW else np.array([assign(g) for g in grids])
+            taken.append((at[:, :1] + np.arange(k) * k + chosen).ravel())
+        rows = np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+        return got.iloc[rows[np.isfinite(price[rows])]][columns]
 
     types = dict(found.dtypes)
-    columns = [by, "start", "title", "pos", cost]
-    return found.select(*columns).groupBy(by).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in columns))
+    return by_groups(found.select(*columns), by, ["start", "title", "pos"], many, ", ".join(f"{c} {types[c]}" for c in columns))
 
 
 def by_cards(votes: DataFrame, by: str) -> DataFrame:

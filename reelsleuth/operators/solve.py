@@ -6,6 +6,8 @@ A group is a disc or a set of discs, at most some hundred titles; scores come fr
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ CARD_COST, MINUTE_COST, ORDER_COST, LEAST_SWAP, LEAST_FIT = 100.0, 0.5, 0.01, 1.
 GAP = 0.05
 MOST_EPISODES, MOST_DISCS = 2000, 100
 LEAST_SPECIAL, SPECIAL_RUNTIME = 1.5, 0.5
+#: Groups of so many titles are solved many at once, by all their ways; larger ones one by one.
+FEW = 3
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -137,6 +141,30 @@ def order_titles(fit: np.ndarray, spoken: np.ndarray, minutes: np.ndarray, liste
     return [int(e) for e in order], reasons, doubtful
 
 
+def order_small(fit: np.ndarray, minutes: np.ndarray, listed: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, reasons, doubtful, sound) of many windows at once, as order_titles() has them without stories.
+
+    `fit` is (windows, n, n) with NaN for titles without dialogue, `told` the place that captions name or -1. Windows that aren't
+    sound have costs that aren't finite.
+    """
+    n = fit.shape[1]
+    place, spoken, fit = np.arange(n), ~np.isnan(fit).any(axis=2), np.nan_to_num(fit)
+    named = np.where((told >= 0)[:, :, None], np.where(told[:, :, None] == place, -CARD_COST, CARD_COST), 0.0)
+    off = np.abs(minutes[:, :, None] - listed[:, None]) * MINUTE_COST
+    evidence = named - np.where(spoken[:, :, None], fit, 0.0) + np.where(np.isnan(off), 0.0, off)
+    cost = evidence + ORDER_COST * np.abs(place[:, None] - place)
+    order = least_pairings(cost)
+    own = np.take_along_axis(evidence, order[:, :, None], 2)[:, :, 0]
+    got = np.take_along_axis(evidence, np.repeat(order[:, None], n, 1), 2)  # of title t the evidence for what u has
+    swaps = got + got.transpose(0, 2, 1) - own[:, :, None] - own[:, None]
+    swaps[:, place, place] = np.inf
+    near = (swaps < LEAST_SWAP).any(axis=2)
+    fits = np.take_along_axis(fit, order[:, :, None], 2)[:, :, 0] >= LEAST_FIT
+    is_card = told == order
+    reasons = np.select([is_card, spoken & fits, spoken, near], ["card", "dialogue", "weak dialogue", "disc order"], "runtime").astype(object)
+    return order, reasons, ~is_card & (near | spoken & ~fits), np.isfinite(cost).all(axis=(1, 2))
+
+
 def match_specials(score: np.ndarray, barred: np.ndarray, least: float = LEAST_SPECIAL) -> list[tuple[int | None, float | None, bool]]:
     """(special, margin, accepted) of each title: one to one, or none at no cost. Unknown scores are NaN."""
     n, m = score.shape
@@ -175,6 +203,45 @@ def _matrix(got: pd.DataFrame, row: str, col: str, value: str) -> tuple[np.ndarr
     return out, rows, cols
 
 
+def by_groups(rows: DataFrame, by: str, order: list[str], kernel: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """`kernel(frame, first)` over frames of many whole groups, sorted by `by` and `order`; first: where each group begins.
+
+    A call a group costs milliseconds of Spark and pandas, a batch of small groups little more than one of them.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            got = pd.concat([*rest, batch], ignore_index=True) if rest else batch
+            first = _begins(got[by])
+            if len(first) > 1:
+                yield kernel(got.iloc[: first[-1]], first[:-1])
+            rest = [got.iloc[first[-1] :]] if len(first) else []
+        if rest:
+            yield kernel(rest[0].reset_index(drop=True), np.zeros(1, np.int64))
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
+def _begins(*keys: pd.Series) -> np.ndarray:
+    """Where runs of equal keys begin; nulls are equal."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        x = key.to_numpy()
+        new[1:] |= (x[1:] != x[:-1]) & ~(pd.isna(x[1:]) & pd.isna(x[:-1]))
+    return np.flatnonzero(new)
+
+
+def least_pairings(cost: np.ndarray) -> np.ndarray:
+    """(groups, n): assign() of each of some square matrices (groups, n, n) of at most FEW rows, the first of equals in order."""
+    ways = np.array(list(permutations(range(cost.shape[1]))))
+    cost = np.where(np.isfinite(cost), cost, NEVER)
+    total = np.zeros((len(cost), len(ways)))
+    for t in range(cost.shape[1]):
+        total += cost[:, t, ways[:, t]]
+    return ways[total.argmin(axis=1)]
+
+
 def assign_groups(pairs: DataFrame, by: str, row: str, col: str, cost: str) -> DataFrame:
     """(by, row, col, cost): the least-cost one-to-one assignment of each group of (by, row, col, cost).
 
@@ -238,20 +305,87 @@ def order_groups(pairs: DataFrame, by: str, title: str, episode: str, fit: str,
         order, reasons, doubtful = found
         return pd.DataFrame({by: got[by].iloc[0], title: rows, episode: [cols[e] for e in order], "reason": reasons, "doubtful": [t in doubtful for t in range(len(rows))]})
 
+    def many(got: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        length = np.diff(np.append(first, len(got)))
+        out, alone = [], np.ones(len(first), bool)
+        for n in range(1, 0 if story else FEW + 1):
+            groups = np.flatnonzero(length == n * n)
+            at = first[groups, None] + np.arange(n * n)
+            grid = lambda name: got[name].to_numpy()[at].reshape(-1, n, n)  # noqa: B023, E731
+            t, e = grid(title), grid(episode)
+            square = (t == t[:, :, :1]).all(axis=(1, 2)) & (e == e[:, :1]).all(axis=(1, 2)) & (np.diff(t[:, :, 0], axis=1) > 0).all(axis=1) & (np.diff(e[:, 0], axis=1) > 0).all(axis=1)
+            groups, at, t, e = groups[square], at[square], t[square][:, :, 0], e[square][:, 0]
+            if len(groups):
+                told = np.full((len(groups), n), -1)
+                for j in range(n if card else 0):
+                    name = grid(card)[:, :, j]
+                    for k in range(n):
+                        told = np.where(name == e[:, k, None], k, told)
+                order, reasons, doubtful, sound = order_small(grid(fit).astype(float), grid(minutes)[:, :, -1].astype(float), grid(listed)[:, -1].astype(float), told)
+                alone[groups[sound]] = False
+                rows = got.iloc[at[sound][:, :: n + 1].ravel() if n > 1 else at[sound].ravel()]
+                out.append(pd.DataFrame({by: rows[by].to_numpy(), title: t[sound].ravel(), episode: np.take_along_axis(e, order, 1)[sound].ravel(), "reason": reasons[sound].ravel(), "doubtful": doubtful[sound].ravel()}))
+        out += [one(got.iloc[first[g] : first[g] + length[g]]) for g in np.flatnonzero(alone)]
+        out = [x for x in out if len(x)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[by, title, episode, "reason", "doubtful"])
+
     types = dict(pairs.dtypes)
     wanted = [by, title, episode, fit, minutes, listed, *[x for x in (card, story) if x]]
-    return pairs.select(*wanted).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {title} {types[title]}, {episode} {types[episode]}, reason string, doubtful boolean")
+    return by_groups(pairs.select(*dict.fromkeys(wanted)), by, [title, episode], many, f"{by} {types[by]}, {title} {types[title]}, {episode} {types[episode]}, reason string, doubtful boolean")
 
 
 def special_groups(pairs: DataFrame, by: str, title: str, special: str, score: str) -> DataFrame:
-    """(by, title, special, margin, accepted): bonus titles and specials one to one, from (by, title, special, score); pairs not given are barred."""
+    """(by, title, special, margin, accepted): bonus titles and specials one to one, from (by, title, special, score); pairs not given are barred.
+
+    Of a few titles and specials all ways are summed in the order of the titles, and the first of the greatest is taken.
+    """
     def one(got: pd.DataFrame) -> pd.DataFrame:
         matrix, rows, cols = _matrix(got, title, special, score)
         found = match_specials(np.where(np.isinf(matrix), np.nan, matrix), np.isinf(matrix))
         return pd.DataFrame([(got[by].iloc[0], rows[i], cols[e], m, ok) for i, (e, m, ok) in enumerate(found) if e is not None], columns=[by, title, special, "margin", "accepted"])
 
+    def many(got: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        length = np.diff(np.append(first, len(got)))
+        group = np.repeat(np.arange(len(first)), length)
+        names, values = [got[title].to_numpy(), got[special].to_numpy()], got[score].to_numpy(float)
+        places, sizes = [], []
+        for x in names:  # of each row its title's and its special's place in the group
+            order = np.lexsort((x, group))
+            g, v = group[order], x[order]
+            new = np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])))
+            rank = np.cumsum(new) - 1
+            place = np.empty(len(x), np.int64)
+            place[order] = rank - rank[np.searchsorted(g, g)]
+            places.append(place)
+            sizes.append(np.maximum.reduceat(place, first) + 1)
+        known = ~np.isnan(values) & ~np.isinf(values)
+        small = (sizes[0] <= FEW) & (sizes[1] <= FEW) & np.logical_and.reduceat(known, first)
+        out = [one(got.iloc[first[k] : first[k] + length[k]]) for k in np.flatnonzero(~small)]
+        grid = np.full((len(first), FEW, FEW + 1), np.nan)
+        grid[:, :, FEW] = 0.0  # no special
+        own = small[group]
+        grid[group[own], places[0][own], places[1][own]] = values[own]
+        row = np.full((len(first), FEW, FEW), -1)
+        row[group[own], places[0][own], places[1][own]] = np.flatnonzero(own)
+        ways = np.array([w for w in product(range(FEW + 1), repeat=FEW) if all(w.count(e) < 2 for e in range(FEW))])
+        total = grid[:, 0, ways[:, 0]]
+        for t in range(1, FEW):
+            total = total + grid[:, t, ways[:, t]]
+        way = ways[np.where(np.isnan(total), -np.inf, total).argmax(axis=1)]
+        for t in range(FEW):
+            at = np.flatnonzero(small & (way[:, t] < FEW))
+            e = way[at, t]
+            chosen, others = grid[at, t, e], grid[at, t, :FEW].copy()
+            others[np.arange(len(at)), e] = np.nan
+            best = np.where(np.isnan(others), -np.inf, others).max(axis=1, initial=-np.inf)
+            margin = np.where(np.isinf(best), chosen, chosen - best)
+            rows = got.iloc[row[at, t, e]]
+            out.append(pd.DataFrame({by: rows[by].to_numpy(), title: rows[title].to_numpy(), special: rows[special].to_numpy(), "margin": margin, "accepted": margin >= LEAST_SPECIAL}))
+        out = [x for x in out if len(x)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[by, title, special, "margin", "accepted"])
+
     types = dict(pairs.dtypes)
-    return pairs.select(by, title, special, score).groupBy(by).applyInPandas(one, f"{by} {types[by]}, {title} {types[title]}, {special} {types[special]}, margin double, accepted boolean")
+    return by_groups(pairs.select(by, title, special, score), by, [title, special], many, f"{by} {types[by]}, {title} {types[title]}, {special} {types[special]}, margin double, accepted boolean")
 
 
 def greedy_groups(pairs: DataFrame, by: str, title: str, episode: str, score: str) -> DataFrame:

@@ -115,3 +115,23 @@ def test_a_set_that_cannot_be_placed_says_why(spark):
     rows = [("a", 0, t, e, 1.0) for t in range(3) for e in range(2)] + [("b", 0, 0, 0, float("inf"))]
     found = {r["g"]: (r["start"], r["reason"]) for r in V.place_sets(spark.createDataFrame(rows, "g string, d long, t long, e long, c double"), "g", "d", "t", "e", "c").collect()}
     assert found == {"a": (None, "fewer episodes than titles"), "b": (None, "no pairing is allowed")}
+
+
+def test_many_small_windows_as_one_by_one():
+    """Many windows at once give what each gives alone; costs are drawn so that none tie."""
+    import numpy as np
+
+    from reelsleuth.operators import solve as V
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3):
+        fit = np.where(rng.random((300, n, 1)) < 0.4, np.nan, rng.random((300, n, n)) * 3)
+        minutes, listed = rng.random((300, n)) * 30, np.where(rng.random((300, n)) < 0.2, np.nan, rng.random((300, n)) * 30)
+        told = rng.integers(-1, n, (300, n)) if n > 1 else np.zeros((300, 1), int)
+        order, reasons, doubtful, sound = V.order_small(fit, minutes, listed, told)
+        assert sound.all()
+        for i in range(300):
+            want = V.order_titles(np.nan_to_num(fit[i]), ~np.isnan(fit[i]).any(axis=1), minutes[i], listed[i], [None if t < 0 else int(t) for t in told[i]], [None] * n)
+            assert (order[i].tolist(), reasons[i].tolist(), np.flatnonzero(doubtful[i]).tolist()) == want
+        cost = rng.random((200, n, n))
+        assert V.least_pairings(cost).tolist() == [V.assign(g).tolist() for g in cost]
