@@ -32,11 +32,20 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises `df` in the shared folder and forgets its lineage; lost executors cost nothing that was cut."""
+    """Materialises `df` in the shared folder and forgets its lineage; lost executors cost nothing that was cut.
+
+    The shuffle files behind it are removed at once, and not when the driver happens to collect its garbage. Should `df` itself run
+    again, Spark makes them anew.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    found = df.checkpoint(eager=True)
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # others' files go with the garbage
+        for shuffle in list(plan.context().shuffleIds().keySet().toArray()):
+            context._jsc.sc().shuffleDriverComponents().removeShuffle(int(shuffle), True)
+    return found
 
 
 def release(spark: SparkSession) -> None:

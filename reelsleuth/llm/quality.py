@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -205,13 +205,14 @@ def _place(keys: np.ndarray, shard_bits: int, bits: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _filter(folder: str, shard_bits: int, bits: int) -> np.ndarray:
-    """FOLDS rows of a bit for each place, once a worker."""
+def _filter(folder: str, fold: int, shard_bits: int, bits: int) -> np.ndarray:
+    """A fold's bit for each place, once a worker."""
     size = max(1, (1 << bits >> shard_bits) // 8)
-    out = np.zeros((FOLDS, size << shard_bits), np.uint8)
+    out = np.zeros(size << shard_bits, np.uint8)
     for name in fetch(f"{folder}/names").decode().split():
-        fold, shard = map(int, name.split("-"))
-        out[fold, shard * size : (shard + 1) * size] = np.frombuffer(fetch(f"{folder}/{name}"), np.uint8)
+        f, shard = map(int, name.split("-"))
+        if f == fold:
+            out[shard * size : (shard + 1) * size] = np.frombuffer(fetch(f"{folder}/{name}"), np.uint8)
     return out
 
 
@@ -266,50 +267,48 @@ class Model:
         sum of their negative log chances."""
         shard_bits, folder, filter_bits, stats, tables = self.shard_bits, self.folder, self.filter_bits, self.stats, self.tables
 
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ask(f: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            bits, frequent, part, number = _filter(folder, shard_bits, filter_bits), _head(folder), TaskContext.get().partitionId(), 0
+            bits, (frequent, values), part, number = _filter(folder, f, shard_bits, filter_bits), _head(folder)[f], TaskContext.get().partitionId(), 0
 
-            def known(f: int, keys: np.ndarray) -> np.ndarray:
+            def known(keys: np.ndarray) -> np.ndarray:
                 spot = _place(keys, shard_bits, filter_bits)
-                return bits[f][(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                return bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
 
             for batch in (x for b in batches for x in slices(b)):
                 syms, sizes = symbols(batch.column("text"))
                 after = np.append(syms[1:], np.uint32(0))
-                # Pieces of BLOCK symbols at most; a block is some pieces of one fold.
+                # Pieces of BLOCK symbols at most; a block is some pieces, one after the other.
                 many = -(-sizes // BLOCK)
                 doc = np.repeat(np.arange(len(sizes)), many)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
                 start = (np.cumsum(sizes) - sizes)[doc] + piece * BLOCK
                 size = np.minimum(sizes[doc] - piece * BLOCK, BLOCK)
-                keys, folds = batch.column("key").to_numpy()[doc], batch.column("fold").to_numpy()[doc]
-                for f in range(FOLDS):
-                    own = np.flatnonzero(folds == f)
-                    names = (np.cumsum(size[own]) - size[own]) // BLOCK + np.arange(len(own)) // 60_000 * len(own)
-                    for at in np.split(own, np.flatnonzero(np.diff(names)) + 1) if len(own) else []:
-                        block, number = part << 32 | number, number + 1
-                        spans = [slice(a, a + n) for a, n in zip(start[at].tolist(), size[at].tolist())]
-                        who = np.repeat(np.arange(len(at), dtype=np.uint16), size[at])
-                        words = np.concatenate([syms[x] for x in spans]).astype(np.uint64) << np.uint64(32)
-                        here = (words >> np.uint64(32)).astype(np.uint32)
-                        spot = np.minimum(np.searchsorted(frequent[f][0], here), max(0, len(frequent[f][0]) - 1))
-                        held = frequent[f][0][spot] == here if len(frequent[f][0]) else np.zeros(len(here), bool)
-                        sums = np.bincount(who[held], frequent[f][1][spot[held]], len(at))
-                        yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), bundle(pack(size[at].astype(np.int32)), pack(sums)), None)])
-                        hit = known(f, words | ALONE) & ~held
-                        one, n = _counted(np.sort(words[hit] >> np.uint64(16) | who[hit]))
-                        yield _rows([("words", f, s, block, pack_lists((one[x] >> np.uint64(16)).astype(np.uint32), one[x].astype(np.uint16), n[x]), None, None, None) for s, x in _shards(one, shard_bits, 16)])
-                        words |= np.concatenate([after[x] for x in spans])
-                        hit = known(f, words)
-                        pairs, who = words[hit], who[hit]
-                        order = np.argsort(pairs, kind="stable")
-                        pairs, who = pairs[order], who[order]
-                        new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (who[1:] != who[:-1])))) if len(pairs) else np.zeros(0, np.int64)
-                        n = np.diff(np.append(new, len(pairs))).astype(np.uint32)
-                        pairs, who = pairs[new], who[new]
-                        yield _rows([("pairs", f, s, block, pack_lists(pairs[x], who[x], n[x]), None, None, None) for s, x in _shards(pairs, shard_bits, 32)])
+                keys = batch.column("key").to_numpy()[doc]
+                names = (np.cumsum(size) - size) // BLOCK + np.arange(len(doc)) // 60_000 * len(doc)
+                for at in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(names)) + 1) if len(doc) else []:
+                    block, number = part << 32 | number, number + 1
+                    span = slice(int(start[at[0]]), int(start[at[-1]] + size[at[-1]]))
+                    who = np.repeat(np.arange(len(at), dtype=np.uint16), size[at])
+                    here = syms[span]
+                    words = here.astype(np.uint64) << np.uint64(32)
+                    spot = np.minimum(np.searchsorted(frequent, here), max(0, len(frequent) - 1))
+                    held = frequent[spot] == here if len(frequent) else np.zeros(len(here), bool)
+                    sums = np.bincount(who[held], values[spot[held]], len(at))
+                    yield _rows([("docs", f, block % (1 << shard_bits), block, pack(keys[at]), pack(piece[at].astype(np.int32)), bundle(pack(size[at].astype(np.int32)), pack(sums)), None)])
+                    hit = known(words | ALONE) & ~held
+                    one, n = _counted(np.sort(words[hit] >> np.uint64(16) | who[hit]))
+                    yield _rows([("words", f, s, block, pack_lists((one[x] >> np.uint64(16)).astype(np.uint32), one[x].astype(np.uint16), n[x]), None, None, None) for s, x in _shards(one, shard_bits, 16)])
+                    words |= after[span]
+                    hit = known(words)
+                    pairs, who = words[hit], who[hit]
+                    order = np.argsort(pairs, kind="stable")
+                    pairs, who = pairs[order], who[order]
+                    new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (who[1:] != who[:-1])))) if len(pairs) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(new, len(pairs))).astype(np.uint32)
+                    pairs, who = pairs[new], who[new]
+                    yield _rows([("pairs", f, s, block, pack_lists(pairs[x], who[x], n[x]), None, None, None) for s, x in _shards(pairs, shard_bits, 32)])
 
         def answer(got: pd.DataFrame) -> pd.DataFrame:
             """Shares of a shard's words and pairs in the documents' losses, added by document."""
@@ -361,9 +360,13 @@ class Model:
                 sums[unpack(who, np.uint16)] += unpack(x, np.float32)
             return pd.DataFrame({"key": keys, "piece": piece, "tokens": size, "loss": -size * np.log(stats[int(fold)][2]) - sums})
 
-        asked = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), fold_of(F.col(text_col)).alias("fold")).mapInArrow(ask, _ROW)
-        answered = asked.unionByName(self.parts).groupBy("fold", "shard").applyInPandas(answer, _ROW)
-        each = answered.groupBy("block").applyInPandas(total, "key long, piece int, tokens int, loss double")
+        texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), fold_of(F.col(text_col)).alias("fold"))
+        each = None
+        for f in range(FOLDS):  # one after the other: what travels for a fold is gone before the next one's does
+            asked = texts.where(F.col("fold") == f).mapInArrow(partial(ask, f), _ROW)
+            answered = asked.unionByName(self.parts.where(F.col("fold") == f)).groupBy("fold", "shard").applyInPandas(answer, _ROW)
+            own = cut(answered.groupBy("block").applyInPandas(total, "key long, piece int, tokens int, loss double"))
+            each = own if each is None else each.unionByName(own)
         # Copies of a text have the same pieces; each counts once.
         once = each.groupBy("key", "piece").agg(F.max("tokens").alias("tokens"), F.max("loss").alias("loss"))
         return once.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))

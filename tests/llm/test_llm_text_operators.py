@@ -375,6 +375,20 @@ def test_personal_data_of_odd_rows(spark, odd):
 # --- quality
 
 
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from reelsleuth.llm.common import cut
+
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {x for x in blocks.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before = held()
+    frame = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    got = cut(frame)
+    assert not held() - before
+    assert sorted(map(tuple, got.collect())) == [(k, 100) for k in range(10)] == sorted(map(tuple, frame.collect()))
+
+
 def test_symbols_name_words():
     import pyarrow as pa
 
