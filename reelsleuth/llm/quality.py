@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fetch, fresh_dir, put, release
+from .common import cut, fetch, fresh_dir, put, release, trim
 
 #: Documents are scored by the model of the other fold's trusted text, so that no text vouches for itself.
 FOLDS = 2
@@ -35,9 +35,10 @@ PRIOR_TOKENS = 10
 #: Ids or texts that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Bytes of trusted text of one shard, about; shards are a power of two.
-SHARD_BYTES = 12_000_000
-#: Symbols that are counted at once, and of a longer document's pieces; and bytes of the texts that are read at once, a longer one apart.
-BLOCK, SLICE_BYTES = 1 << 20, 12_000_000
+SHARD_BYTES = 6_000_000
+#: Symbols that are counted at once, and of a longer document's pieces; and bytes of the texts that are read at once, a longer one apart:
+#: symbols of several such slices make a block, for a text's bytes take some ten times their size while its words are found.
+BLOCK, SLICE_BYTES = 1 << 20, 2_000_000
 #: Bits of a fold's filter at most (16 MB): each word and pair of trusted text sets one. Words and pairs of texts whose bit isn't set
 #: don't travel; a full filter lets all of them through, so that its size bears on traffic alone.
 FILTER_BITS = 27
@@ -121,6 +122,21 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
         at = stop
 
 
+def blocks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(symbols, how many each text has, values of `columns`) of whole texts: as many slices as stay within BLOCK symbols, one at least."""
+    got, n = [], 0
+    for batch in (x for b in batches for x in slices(b)):
+        syms, sizes = symbols(batch.column("text"))
+        if got and n + len(syms) > BLOCK:
+            yield tuple(map(np.concatenate, zip(*got)))
+            got, n = [], 0
+        got.append((syms, sizes, *(batch.column(c).to_numpy() for c in columns)))
+        n += len(syms)
+    if got:
+        yield tuple(map(np.concatenate, zip(*got)))
+    trim()
+
+
 def _pairs(syms: np.ndarray) -> np.ndarray:
     """Each symbol with the one after it; the last of a text with 0, which begins the next."""
     return syms.astype(np.uint64) << np.uint64(32) | np.append(syms[1:], np.uint32(0))
@@ -276,8 +292,7 @@ class Model:
                 spot = _place(keys, shard_bits, filter_bits)
                 return bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 == 1
 
-            for batch in (x for b in batches for x in slices(b)):
-                syms, sizes = symbols(batch.column("text"))
+            for syms, sizes, keys in blocks(batches, "key"):
                 after = np.append(syms[1:], np.uint32(0))
                 # Pieces of BLOCK symbols at most; a block is some pieces, one after the other.
                 many = -(-sizes // BLOCK)
@@ -285,7 +300,7 @@ class Model:
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
                 start = (np.cumsum(sizes) - sizes)[doc] + piece * BLOCK
                 size = np.minimum(sizes[doc] - piece * BLOCK, BLOCK)
-                keys = batch.column("key").to_numpy()[doc]
+                keys = keys[doc]
                 names = (np.cumsum(size) - size) // BLOCK + np.arange(len(doc)) // 60_000 * len(doc)
                 for at in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(names)) + 1) if len(doc) else []:
                     block, number = part << 32 | number, number + 1
@@ -348,6 +363,8 @@ class Model:
             for block, parts in shares.items():
                 for who, x in parts:
                     out.append(("share", fold, shard, block, pack(who), pack(x.astype(np.float32)), None, None))
+            del by, got, keys, gain, own, value
+            trim()
             return pd.DataFrame(out, columns=_COLUMNS)
 
         def total(got: pd.DataFrame) -> pd.DataFrame:
@@ -380,9 +397,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     filter_bits = max(shard_bits + 3, min(FILTER_BITS, int(np.ceil(np.log2(max(8, size))))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b)):
-            syms, sizes = symbols(batch.column("text"))
-            keys, folds = _pairs(syms), np.repeat(batch.column("fold").to_numpy(), sizes)
+        for syms, sizes, folds in blocks(batches, "fold"):
+            keys, folds = _pairs(syms), np.repeat(folds, sizes)
             for f in range(FOLDS):
                 own = keys[folds == (f + 1) % FOLDS]
                 for at in range(0, len(own), 2 * BLOCK):
@@ -409,6 +425,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         out = [("table", fold, shard, 0, None, None, name.encode(), _few(n))]
         words, many = _counted(np.sort(keys & np.uint64(0xFFFFFFFF)))
         out += [("words", fold, s, shard, pack(words[x].astype(np.uint32), True), pack(many[x].astype(np.uint32)), None, None) for s, x in _shards(words, shard_bits, 0)]
+        del got, keys, n, order, at, bits, heads
+        trim()
         return pd.DataFrame(out, columns=_COLUMNS)
 
     def lower(got: pd.DataFrame) -> pd.DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, trim
 from .components import connected_components
 from .quality import _mixed, slices, symbols
 
@@ -225,7 +225,7 @@ def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
 #: Bits of a shingle's hash.
 SHINGLE_BITS = 44
 #: Shingles that one task counts, about.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Pairs a text beyond which pivots are tried before all pairs of a shared shingle are.
 MANY_PAIRS, TURNS = 4, 8
 
@@ -333,6 +333,7 @@ def shared_shingles(docs: DataFrame, words_each: int, shards: int) -> DataFrame:
             keep = fresh[owner]
             got = list(_blocks(nodes, owner[keep], one[keep], shards))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["shard", "block"])
+        trim()
 
     def count(got: pa.Table) -> pa.Table:
         parts = [_unblocked(x.as_py()) for x in got.column("block")]
@@ -347,6 +348,8 @@ def shared_shingles(docs: DataFrame, words_each: int, shards: int) -> DataFrame:
         order = np.argsort(node, kind="stable")
         value = value[order]
         key, first, last = _runs(node[order])
+        del parts, h, node, order, new, sets
+        trim()
         return pa.table({"node": pa.array(key), "shared": pa.ListArray.from_arrays(pa.array(np.append(first, len(value)), pa.int32()), pa.array(value))})
 
     return docs.select("text").mapInArrow(give, "shard int, block binary").groupBy("shard").applyInArrow(count, "node long, shared array<long>")

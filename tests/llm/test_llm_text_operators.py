@@ -408,6 +408,28 @@ def test_symbols_name_words():
     assert Q.symbols(part)[0].tolist() == syms[sizes[:5].sum() : sizes[:9].sum()].tolist()
 
 
+def test_words_of_much_text_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=4_000)) for _ in range(500)] + [None, ""]  # 12 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "key"])
+    want, _ = Q.symbols(batch.column("text"))
+    tracemalloc.start()
+    got, most = [], 0
+    for syms, sizes, keys in Q.blocks(iter([batch]), "key"):
+        assert len(syms) == sizes.sum() <= Q.BLOCK and len(sizes) == len(keys)
+        got.append((syms, keys))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate([x for x, _ in got]), want) and np.concatenate([k for _, k in got]).tolist() == list(range(len(texts)))
+    assert most < 80e6
+
+
 def direct_losses(rows):
     """Loss of each text by interpolation, pair by pair, over dictionaries."""
     from collections import Counter
