@@ -49,6 +49,8 @@ ALONE = np.uint64(0xFFFFFFFF)
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -69,8 +71,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (32 bits each) of texts, one after the other, and how many each has.
+def symbols(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (32 bits each) of texts, one after the other, and how many each has. lower: A-Z count as a-z.
 
     A text with words has symbol 0, then its words' hashes; without words it has none. Words are runs between blanks
     (x20, x09 to x0D). Each word's hash is a polynomial of its bytes, from running sums over all bytes.
@@ -82,6 +84,8 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = np.frombuffer(buffer, np.uint8)[offs[0] : offs[-1]] if buffer is not None else np.zeros(0, np.uint8)
     offs = offs - offs[0]
+    if lower:  # not by Arrow's ascii_lower: of a slice that was cast it keeps the old offsets, and texts are lost (23.0)
+        data = _LOWER[data]
     word = ~_BLANK[data]
     first = word.copy()
     first[1:] &= ~word[:-1]

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,15 +225,15 @@ def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
 SHINGLE_BITS = 44
 #: Shingles that one task counts, about.
 SHARD = 2_000_000
-#: Pairs a text beyond which pivots are tried before all pairs of a shared shingle are.
-MANY_PAIRS, TURNS = 4, 8
+#: Pairs a text beyond which pivots are tried before all pairs of a shared shingle are, but of so many texts at least.
+MANY_PAIRS, FEW_TEXTS, TURNS = 4, 20_000, 8
 
 
 def _shingled(texts: pa.Array, words_each: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, owner, heads, tails, hashes) of some texts at once, about 50,000 shingles: the different shingles of the
     text first + owner[i], ASCII letters lower-cased, are hashes[heads[i]:tails[i]]. Texts without words have none.
     """
-    syms, sizes = symbols(pc.ascii_lower(texts.cast(pa.large_string())))
+    syms, sizes = symbols(texts, lower=True)
     first = np.cumsum(sizes) - sizes + 1  # after the symbol that begins a text
     many = np.where(sizes > 0, np.maximum(sizes - words_each, 1), 0)
     weights = _mixed(np.arange(1, words_each + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -373,21 +372,24 @@ def likeness_links(sets: DataFrame, edges: DataFrame, similarity: float) -> Data
 
     `sets` is (node, n, shared): shared shingles, the rarest first. Of two sets that are alike, each holds one of the other's among its
     first n - ceil(similarity n) + 1, in any order common to all; those that no other set holds come before, and need no look.
-    Only pairs of different classes meet. Where very many would, each shingle's pivot meets the others first, which joins what is much alike.
+    Only pairs of different classes meet. Where very many would, each shingle's pivot meets the others first, which joins what is much alike,
+    until that joins nothing twice.
     """
     least = F.ceil(F.col("n") * similarity - 1e-9)
     postings = cut(sets.select("node", "n", F.explode(F.slice("shared", F.lit(1), (F.size("shared") - least + 1).cast("int"))).alias("token")))
-    total = sets.count()
+    total = max(sets.count(), FEW_TEXTS)
+    stuck = 0
     for turn in range(TURNS + 1):
         classed = _classed(postings, edges)
         x, y = (classed.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "class")]) for k in "ab")
         fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
         met = x.join(y, "token").where((F.col("class_a") < F.col("class_b")) & fits)
-        if turn == TURNS or met.count() <= MANY_PAIRS * total:
+        if turn == TURNS or stuck == 2 or met.count() <= MANY_PAIRS * total:
             return edges.unionByName(_alike(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, similarity))
         pivots = classed.groupBy("token").agg(F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn))).alias("p"))
         starred = classed.join(pivots, "token").where("class <> p.class").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        edges = cut(edges.unionByName(_alike(starred, sets, similarity)))
+        more = cut(_alike(starred, sets, similarity))
+        stuck, edges = stuck + 1 if more.isEmpty() else 0, edges.unionByName(more)
 
 
 def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -108,6 +108,32 @@ def test_wide_fingerprints_follow_the_set_of_shingles():
     assert int(np.bitwise_count(got[4] ^ got[6]).sum()) < 30 < int(np.bitwise_count(got[4] ^ got[9]).sum())
 
 
+@pytest.mark.parametrize("nulls", [False, True])
+def test_slices_of_a_batch_keep_their_texts(nulls):
+    """Batches are read some megabytes at a time: texts after the first slice are as good as those in it."""
+    import pyarrow as pa
+
+    from reelsleuth.llm.quality import slices, symbols
+
+    rng = np.random.default_rng(6)
+    texts = [None if nulls and k % 7 == 3 else " ".join(f"W{i}" for i in rng.integers(0, 500, 30)) for k in range(40)]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], names=["text"])
+        parts = [x.column("text") for x in slices(batch, 700)]
+        assert len(parts) > 5
+        for find in (lambda t: symbols(t)[0], lambda t: symbols(t, lower=True)[0], lambda t: S.wide_fingerprints(t, 5), lambda t: S._wide(t, 5)[1]):
+            assert (np.concatenate([find(x) for x in parts]) == find(pa.array(texts))).all()
+        assert len(set(np.concatenate([S._wide(x, 5)[1] for x in parts]).tolist())) == len(set(texts))
+
+
+def test_clean_documents_of_a_long_batch_stay(spark):
+    """Texts that share no shingle stay, wherever in a batch of over 4 MB they lie; of copies one does."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 3000)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[::40]])), "doc_id long, text string").coalesce(1)
+    assert sorted(r["doc_id"] for r in S.one_of_each(docs).collect()) == list(range(400))
+
+
 def test_near_copies_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     texts = []
