@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+def _components(distinct: DataFrame, edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, component_id): of (node, first_id) and links, the smallest first_id of each node's component."""
-    roots = connected_components(edges).withColumnRenamed("node", "linked")
+    roots = connected_components(edges, few=few).withColumnRenamed("node", "linked")
     by_node = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = by_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return by_node.join(least, "root").select("node", "component_id")
@@ -227,6 +227,8 @@ SHINGLE_BITS = 44
 SHARD = 2_000_000
 #: Pairs a text beyond which pivots are tried before all pairs of a shared shingle are, but of so many texts at least.
 MANY_PAIRS, FEW_TEXTS, TURNS = 4, 20_000, 8
+#: Links that the driver joins by itself (16 bytes each); more are joined by the executors.
+FEW_EDGES = 200_000
 
 
 def _shingled(texts: pa.Array, words_each: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -363,7 +365,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _classed(postings: DataFrame, edges: DataFrame) -> DataFrame:
     """Postings with the class that edges put their node into."""
-    roots = connected_components(edges).withColumnRenamed("node", "linked")
+    roots = connected_components(edges, few=FEW_EDGES).withColumnRenamed("node", "linked")
     return cut(postings.join(roots, postings["node"] == roots["linked"], "left").select("token", "node", "n", F.coalesce("root", "node").alias("class")))
 
 
@@ -423,7 +425,7 @@ def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -
     offered = links(fps, radius_of(similarity), LEAF, tuple(columns), BANDS, 1).unionByName(same)
     sets = sets.select("node", "n", "shared")
     edges = likeness_links(sets, cut(_alike(offered, sets, similarity)), similarity)
-    named = _components(distinct, edges)
+    named = _components(distinct, edges, FEW_EDGES)
     return own.join(named, "node").select("doc_id", "text_key", "component_id")
 
 

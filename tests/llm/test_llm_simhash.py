@@ -192,3 +192,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in got} == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_few_links_are_joined_by_the_driver(spark, monkeypatch):
+    """The same roots, without a single round."""
+    import reelsleuth.llm.components as C
+
+    rng = np.random.default_rng(8)
+    edges = [*((int(a), int(b)) for a, b in rng.integers(-500, 500, (400, 2))), *((i, i + 1) for i in range(10_000, 10_300)), (7, 7), (None, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    slow = {(r["node"], r["root"]) for r in connected_components(frame).collect()}
+    monkeypatch.setattr(C, "_star", None)
+    got = [(r["node"], r["root"]) for r in connected_components(frame, few=1000).collect()]
+    assert len(got) == len(slow) and set(got) == slow
+    assert connected_components(frame.where("a is null"), few=1000).count() == 0
