@@ -212,7 +212,8 @@ def ordered_titles(spark, sf_dir):
     "SELECT grp, title, special, round(margin, 6)::DOUBLE AS margin, margin >= 1.5 AS accepted FROM m",
 )
 def specials(spark, sf_dir):
-    rows = pairs(spark, sf_dir).where("(title + episode) % 5 <> 0").withColumn("score", c("cost") * 5 + c("title") * (c("episode") + 1) % 101 / 10000)  # no two ways cost the same
+    """Of ways with equal sums, which the SQL leaves open, the first by the specials of the titles in order, none last."""
+    rows = pairs(spark, sf_dir).where("(title + episode) % 5 <> 0").withColumn("score", c("cost") * 5 + c("title") * (c("episode") + 1) % 101 / 10000)
     return V.special_groups(rows, "grp", "title", "episode", "score").withColumnRenamed("episode", "special").withColumn("margin", F.round("margin", 6))
 
 

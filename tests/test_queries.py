@@ -102,6 +102,21 @@ def test_specials_sum_in_the_order_of_titles(spark, tmp_path):
     assert [r for r in got if r[1] not in tied] == [r for r in want if r[1] not in tied]
 
 
+def test_specials_of_equal_sums_take_the_first_way(spark, tmp_path):
+    """All groups, ties too: as the SQL has them once its ORDER BY goes on by the specials of the titles in order; however rows lie."""
+    import random
+
+    keys = list(range(6000))
+    random.Random(7).shuffle(keys)
+    sf_dir, con = grown(tmp_path, "supplier", keys)
+    sql = ORACLES["O07_specials"]
+    closed = sql.replace("ORDER BY total DESC)", "ORDER BY total DESC, e1, e2, e3)")
+    assert closed != sql
+    tied = con.sql(sql[: sql.index(", won AS")] + " SELECT count(*) FROM (SELECT grp FROM ways QUALIFY rank() OVER (PARTITION BY grp ORDER BY total DESC) = 1) GROUP BY grp HAVING count(*) > 1").fetchall()
+    assert len(tied) > 100
+    assert normal(QUERIES["O07_specials"](spark, sf_dir).toPandas()) == normal(con.sql(closed).df())
+
+
 @pytest.mark.parametrize("key", ["O08_season_match", "O09_titles_placed"])
 def test_seasons_of_many_discs(spark, tmp_path, key):
     """Beyond one batch of rows, and within a time that a call a disc doesn't keep."""
