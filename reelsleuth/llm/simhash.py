@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,6 +225,8 @@ def _components(distinct: DataFrame, edges: DataFrame, few: int = 0) -> DataFram
 SHINGLE_BITS = 44
 #: Shingles that one task counts, about.
 SHARD = 2_000_000
+#: Columns of 64 bits that mark a set's shared shingles, each flipping one; a power of two.
+MARKS = tuple(f"mark{k}" for k in range(8))
 #: Pairs a text beyond which pivots are tried before all pairs of a shared shingle are, but of so many texts at least.
 MANY_PAIRS, FEW_TEXTS, TURNS = 4, 20_000, 8
 #: Links that the driver joins by itself (16 bytes each); more are joined by the executors.
@@ -366,7 +368,20 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def _classed(postings: DataFrame, edges: DataFrame) -> DataFrame:
     """Postings with the class that edges put their node into."""
     roots = connected_components(edges, few=FEW_EDGES).withColumnRenamed("node", "linked")
-    return cut(postings.join(roots, postings["node"] == roots["linked"], "left").select("token", "node", "n", F.coalesce("root", "node").alias("class")))
+    return cut(postings.join(roots, postings["node"] == roots["linked"], "left").select(*postings.columns, F.coalesce("root", "node").alias("class")))
+
+
+def _may_be_alike(similarity: float) -> Column:
+    """False for pairs of rows _a and _b that can't be alike, by their sizes or by bits that only one of them has flipped.
+
+    Alike sets differ in (1 - similarity) / (1 + similarity) of their sizes' sum at most. They differ in the shingles that no other set holds,
+    and in one shared one at least for each bit that differs in their marks.
+    """
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
+    differ = F.col("n_a") - F.col("held_a") + F.col("n_b") - F.col("held_b")
+    for mark in MARKS:
+        differ += F.bit_count(F.col(f"{mark}_a").bitwiseXOR(F.col(f"{mark}_b")))
+    return sizes & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def likeness_links(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
@@ -374,23 +389,26 @@ def likeness_links(sets: DataFrame, edges: DataFrame, similarity: float) -> Data
 
     `sets` is (node, n, shared): shared shingles, the rarest first. Of two sets that are alike, each holds one of the other's among its
     first n - ceil(similarity n) + 1, in any order common to all; those that no other set holds come before, and need no look.
-    Only pairs of different classes meet. Where very many would, each shingle's pivot meets the others first, which joins what is much alike,
+    Only pairs of different classes meet, that may be alike by their sizes and marks, and where enough shingles follow in both: at the first
+    that both hold, all others that they share do. Where very many would meet, each shingle's pivot meets the others first, which joins what is much alike,
     until that joins nothing twice.
     """
-    least = F.ceil(F.col("n") * similarity - 1e-9)
-    postings = cut(sets.select("node", "n", F.explode(F.slice("shared", F.lit(1), (F.size("shared") - least + 1).cast("int"))).alias("token")))
+    least, held = F.ceil(F.col("n") * similarity - 1e-9), F.size("shared")
+    marks = [F.expr(f"aggregate(shared, 0L, (x, v) -> x ^ if((shiftright(v, 6) & {len(MARKS) - 1}) = {k}, shiftleft(1L, cast(v & 63 as int)), 0L))").alias(m) for k, m in enumerate(MARKS)]
+    postings = cut(sets.select("node", "n", held.alias("held"), *marks, F.posexplode(F.slice("shared", F.lit(1), (held - least + 1).cast("int"))).alias("at", "token")))
     total = max(sets.count(), FEW_TEXTS)
     stuck = 0
     for turn in range(TURNS + 1):
         classed = _classed(postings, edges)
-        x, y = (classed.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "class")]) for k in "ab")
-        fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
-        met = x.join(y, "token").where((F.col("class_a") < F.col("class_b")) & fits)
+        own = [x for x in classed.columns if x != "token"]
+        x, y = (classed.select("token", *[F.col(c).alias(f"{c}_{k}") for c in own]) for k in "ab")
+        follow = F.least(F.col("held_a") - F.col("at_a"), F.col("held_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
+        met = x.join(y, "token").where((F.col("class_a") < F.col("class_b")) & follow & _may_be_alike(similarity))
         if turn == TURNS or stuck == 2 or met.count() <= MANY_PAIRS * total:
             return edges.unionByName(_alike(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, similarity))
-        pivots = classed.groupBy("token").agg(F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        starred = classed.join(pivots, "token").where("class <> p.class").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = cut(_alike(starred, sets, similarity))
+        pivots = classed.groupBy("token").agg(F.min_by(F.struct(*own), F.xxhash64("node", F.lit(turn))).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_a") for c in own])
+        starred = pivots.join(y, "token").where((F.col("class_a") != F.col("class_b")) & _may_be_alike(similarity))
+        more = cut(_alike(starred.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, similarity))
         stuck, edges = stuck + 1 if more.isEmpty() else 0, edges.unionByName(more)
 
 
@@ -423,6 +441,7 @@ def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -
     fps = cut(sets.groupBy(*columns).agg(F.min("node").alias("node")))
     same = sets.select(F.col("node").alias("b"), *columns).join(fps.withColumnRenamed("node", "a"), columns).where("a <> b").select("a", "b")
     offered = links(fps, radius_of(similarity), LEAF, tuple(columns), BANDS, 1).unionByName(same)
+    offered = offered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # several bands offer the same
     sets = sets.select("node", "n", "shared")
     edges = likeness_links(sets, cut(_alike(offered, sets, similarity)), similarity)
     named = _components(distinct, edges, FEW_EDGES)

@@ -188,6 +188,33 @@ def test_near_copies_are_all_pairs_of_the_threshold(spark, many, monkeypatch):
     assert got.to_dict() == {i: find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("many", [0, 4])
+def test_texts_that_are_almost_alike_do_not_meet_in_pairs(spark, many, monkeypatch):
+    """200 variants of a text, most pairs at a likeness of 0.7: few pairs are laid side by side, and no link is lost."""
+    monkeypatch.setattr(S, "MANY_PAIRS", many)
+    alike, met = S._alike, []
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(S, "_alike", counted)
+    rng = np.random.default_rng(9)
+    body, texts = [f"w{k}" for k in range(120)], []
+    for j in range(200):
+        words = list(body)
+        for k in rng.choice(120, int(rng.choice([1, 2, 3], p=[0.02, 0.9, 0.08])), replace=False):
+            words[k] = f"n{j}_{k}"
+        texts.append(" ".join(words))
+    sets = [frozenset(shingles(t)) for t in texts]
+    pairs = [(j, i) for i, x in enumerate(sets) for j in range(i) if like(x, sets[j])]
+    assert 100 < len(pairs) < 5000
+    low = connected_components(spark.createDataFrame(pairs, "a long, b long")).toPandas().set_index("node").root
+    got = S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    assert got.to_dict() == {i: int(low.get(i, i)) for i in range(200)}
+    assert sum(met[1:]) < 10 * len(texts)  # the first are those that fingerprints offer
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
