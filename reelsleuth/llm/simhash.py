@@ -395,7 +395,8 @@ def likeness_links(sets: DataFrame, edges: DataFrame, similarity: float) -> Data
     """
     least, held = F.ceil(F.col("n") * similarity - 1e-9), F.size("shared")
     marks = [F.expr(f"aggregate(shared, 0L, (x, v) -> x ^ if((shiftright(v, 6) & {len(MARKS) - 1}) = {k}, shiftleft(1L, cast(v & 63 as int)), 0L))").alias(m) for k, m in enumerate(MARKS)]
-    postings = cut(sets.select("node", "n", held.alias("held"), *marks, F.posexplode(F.slice("shared", F.lit(1), (held - least + 1).cast("int"))).alias("at", "token")))
+    marked = cut(sets.select("node", "n", held.alias("held"), *marks, F.slice("shared", F.lit(1), (held - least + 1).cast("int")).alias("first")))  # cut, as Spark would mark each exploded row anew
+    postings = cut(marked.select("node", "n", "held", *MARKS, F.posexplode("first").alias("at", "token")))
     total = max(sets.count(), FEW_TEXTS)
     stuck = 0
     for turn in range(TURNS + 1):
